@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from fieldwright.llm import substring_dedup, suffix_dedup
+from fieldwright.llm import language_id, mixing, substring_dedup, suffix_dedup, tokens, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_warc": warc.op6_warc,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_token_files": tokens.op8_token_files,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {
     "op1_suffix_dedup": suffix_dedup.OP1_SQL,
+    "op4_mixing": mixing.OP4_SQL,
+    "op5_url_filter": url_filter.OP5_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
 }
