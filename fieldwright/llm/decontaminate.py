@@ -8,6 +8,8 @@ laid over the document and an overlap counts if enough of its words agree.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -142,22 +144,39 @@ def _search(shared, window: int, percent: int):
     return run
 
 
-def find_overlaps(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    masks: tuple[str, ...] = MASKS, window: int = WINDOW, percent: int = PERCENT,
-) -> list[DataFrame]:
-    """For each block of the benchmark: a row for each row of `docs`, with its id (as `doc`) and its verified overlaps."""
-    spark = docs.sparkSession
+def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS) -> Iterator:
+    """Broadcast indexes of the benchmark, one for each BLOCK_BYTES of it."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    out = []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).orderBy("i", "t").collect()  # about BLOCK_BYTES
-        shared = spark.sparkContext.broadcast(Index([(r["i"] if r["i"] is not None else -1, r["t"]) for r in part], masks))
-        out.append(X.arrow(rows, _search(shared, window, percent), _DDL))
-    return out
+        yield spark.sparkContext.broadcast(Index([(r["i"] if r["i"] is not None else -1, r["t"]) for r in part], masks))
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, percent: int = PERCENT, **items) -> list[DataFrame]:
+    """For each block of the benchmark: a row for each row of `docs`, with its id (as `doc`) and its verified overlaps."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    return [X.arrow(rows, _search(shared, window, percent), _DDL) for shared in benchmark_blocks(benchmark, **items)]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, percent: int = PERCENT, **items) -> DataFrame:
+    """The rows of `docs` without a verified overlap, with all their columns; each block of the benchmark takes its own away."""
+    at = docs.columns.index(text_col)
+
+    def cleaner(search):
+        def run(batches):
+            for batch in batches:
+                pair = pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc", "text"])
+                clean = [n == 0 for part in search([pair]) for n in part.column(1).value_lengths().to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for shared in benchmark_blocks(benchmark, **items):
+        docs = X.arrow(docs, cleaner(_search(shared, window, percent)), docs.schema)
+    return docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

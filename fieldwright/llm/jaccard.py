@@ -268,6 +268,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     equal or null ids are documents of their own; rows alike in id and text are one document with several rows. A null id
     is the component's id only if all its ids are null. Other columns are ignored, whatever their names.
     """
+    out, unique = _rooted(docs, id_col, text_col, words, percent)
+    if unique:
+        return out.select("doc_id", "n_shingles", F.col("root").alias("component_id"), "n_links")
+    out = X.keep(out, "rows-by-root")
+    return out.join(out.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with all its columns: that of least id (where ids repeat or are null, of least id and text hash)."""
+    out, unique = _rooted(docs, id_col, text_col, words, percent)
+    stay = out.where("doc = root").select(F.col("doc").alias("_stays")).distinct()
+    key = _key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"), unique)
+    kept = docs.withColumn("_key", key).join(stay, F.col("_key") == F.col("_stays"), "left_semi")
+    return (kept if unique else kept.dropDuplicates(["_key"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, bool]:
+    """(doc_id, doc: the key of the row, n_shingles, root: the least key of its component, n_links), and whether ids are the keys."""
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     again = docs.select(ident.alias("i")).groupBy("i").count().where("count > 1 OR i IS NULL")
     unique = again.isEmpty()
@@ -314,11 +332,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("doc", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     out = rows.select("doc_id", "doc").join(counts.select("doc", "n"), "doc", "left").join(classed, "doc", "left")
-    out = out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("root", "doc").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    if unique:
-        return out.select("doc_id", "n_shingles", F.col("root").alias("component_id"), "n_links")
-    out = X.keep(out, "rows-by-root")
-    return out.join(out.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "n_shingles", "component_id", "n_links")
+    out = out.select("doc_id", "doc", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("root", "doc").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out, unique
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,6 +247,22 @@ def _predict(shared, name: str):
     return run
 
 
+def keep_identified(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose language is accepted, with all their columns: `identify_language` says which."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(models)
+    predict = _predict(shared, f"{spark.sparkContext.applicationId}-{shared._path}")
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            pair = pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
+            gone = [x for part in predict([pair]) for x in part.column(4).to_pylist()]
+            yield batch.filter(pa.array([not x for x in gone], pa.bool_()))
+
+    return X.arrow(docs, run, docs.schema)
+
+
 def held_out(ident: Column) -> Column:
     """Documents that no model learns from: crc32 of the id as text is 2 modulo 4. A null id is not held out."""
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 4 == 2, F.lit(False))

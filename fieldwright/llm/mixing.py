@@ -56,41 +56,59 @@ def mix_sources(
     documents by virtual finish time (the rows come range-sorted by it), cut at the total budget, which all sources reach
     at time 1: there a document is cut, so that each source gives its target's whole words.
 
-    Returns a row for each document: doc_id, source_key ('=' and the source, or 'null'), size, source_size, target, taken
-    (repeats counted) and virtual_finish (null where the target is 0).
+    Returns all columns of `docs` and mix_size, mix_source_size, mix_target, mix_taken (repeats counted), mix_passes (the
+    times that any of its words are taken) and mix_finish (virtual finish time; null where the target is 0).
 
     Null texts have size 0 and give nothing; a null source is a source of its own, last in order; rows with equal or null
-    ids are documents of their own, tied documents following each other by size; an empty table gives no rows. Other
-    columns are ignored, whatever their names. Running sums go over parts of each queue, then over the parts' sums, so
-    no source meets in one task.
+    ids are documents of their own, tied documents following each other by size; an empty table gives no rows. Columns of
+    `docs` whose names begin with mix_ are replaced. Running sums go over parts of each queue, then over the parts' sums,
+    so no source meets in one task.
     """
-    digits = 2 if X.reducers(docs) <= 256 else 3 if X.reducers(docs) <= 4096 else 4
+    n = X.reducers(docs)
+    digits = 2 if n <= 256 else 3 if n <= 4096 else 4
     ident, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
-    rows = docs.select(
-        ident.alias("doc_id"), source.alias("source"),
-        F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("source_key"),
-        word_count(F.col(f"`{text_col}`")).alias("size"),
-        F.md5(F.concat_ws("|", F.coalesce(ident.cast("string"), F.lit("null")), F.lit(str(seed)))).alias("place"),
-    ).withColumn("part", F.substring("place", 1, digits))
-    sized = X.keep(rows, "sizes")
-    targets = source_targets(sized, weights, share_percent, times)
-    parts = sized.groupBy("source_key", "part").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("source_key").orderBy("part")) - F.col("words")
-    parts = parts.select("source_key", "part", before.alias("before_part"))
-    queue = Window.partitionBy("source_key", "part").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = sized.withColumn("upto", F.sum("size").over(queue))
-    placed = queued.join(parts, ["source_key", "part"]).join(targets, "source_key")
-    start = F.col("before_part") + F.col("upto") - F.col("size")
-    whole = F.floor("target").cast("long")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), whole - start - k * F.col("source_size"))) for k in range(times)), F.lit(0)).cast("long")
-    finish = F.try_divide((start + F.col("size")).cast("double"), F.col("target"))
-    out = placed.select("doc_id", "source_key", "size", "source_size", "target", taken.alias("taken"), finish.alias("virtual_finish"))
-    return out.repartitionByRange(X.reducers(docs), "virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id")
+    rows = docs.withColumns(
+        {
+            "mix_id": ident,
+            "mix_source": source,
+            "mix_source_key": F.coalesce(F.concat(F.lit("="), source), F.lit("null")),
+            "mix_size": word_count(F.col(f"`{text_col}`")),
+            "mix_place": F.md5(F.concat_ws("|", F.coalesce(ident.cast("string"), F.lit("null")), F.lit(str(seed)))),
+        }
+    ).withColumn("mix_part", F.substring("mix_place", 1, digits))
+    parts = X.keep(rows.groupBy("mix_source_key", "mix_part").agg(F.first("mix_source").alias("source"), F.sum("mix_size").alias("size")), "mix-parts")
+    targets = source_targets(parts.withColumnRenamed("mix_source_key", "source_key"), weights, share_percent, times)
+    before = F.sum("size").over(Window.partitionBy("mix_source_key").orderBy("mix_part")) - F.col("size")
+    parts = parts.select("mix_source_key", "mix_part", before.alias("mix_before"))
+    known = parts.join(targets.select(F.col("source_key").alias("mix_source_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), "mix_source_key")
+    queue = Window.partitionBy("mix_source_key", "mix_part").orderBy("mix_place", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("mix_upto", F.sum("mix_size").over(queue)).join(known, ["mix_source_key", "mix_part"])
+    start = F.col("mix_before") + F.col("mix_upto") - F.col("mix_size")
+    whole = F.floor("mix_target").cast("long")
+    each = [F.greatest(F.lit(0), F.least(F.col("mix_size"), whole - start - k * F.col("mix_source_size"))).cast("long") for k in range(times)]
+    out = placed.withColumns(
+        {
+            "mix_taken": sum(each[1:], each[0]),
+            "mix_passes": sum([F.when(x > 0, 1).otherwise(0) for x in each[1:]], F.when(each[0] > 0, 1).otherwise(0)),
+            "mix_finish": F.try_divide((start + F.col("mix_size")).cast("double"), F.col("mix_target")),
+        }
+    )
+    own = [c for c in docs.columns if not c.startswith("mix_")]
+    out = out.select(*[F.col(f"`{c}`") for c in own], "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_passes", "mix_finish")
+    return out.repartitionByRange(n, "mix_finish", F.col(f"`{id_col}`")).sortWithinPartitions("mix_finish", F.col(f"`{id_col}`"))
+
+
+def mixed_documents(docs: DataFrame, times: int = 2, **how) -> DataFrame:
+    """The mix itself: each document as often as the mix takes any of its words, whole each time, with the columns of `docs`."""
+    mixed = mix_sources(docs, times=times, **how).where("mix_passes > 0")
+    again = mixed.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("mix_passes"))))
+    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    names = ("size", "source_size", "target", "taken")
+    return mix_sources(docs.select("doc_id", "source", "text")).select("doc_id", *[F.col(f"mix_{c}").alias(c) for c in names])
 
 
 OP4_SQL = r"""
