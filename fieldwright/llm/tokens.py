@@ -23,75 +23,122 @@ from fieldwright.llm import text as T
 END_ID = 1
 #: Words a worker keeps ids for; beyond it the store starts anew.
 STORE_WORDS = 1_500_000
-_SEPARATOR = "<|endoftext|>"
 _stores: dict = {}
 
 
 class _Store:
     """Token ids by word hash. Texts are encoded a white-space word at a time: white space is dropped by this kind of
-    tokenizer and nothing in it reaches across, which `splits_at_space` checks."""
+    tokenizer and nothing in it reaches across, which `splits_at_space` checks. Words are found through two tables of
+    slots; a word that lost both of its slots to others is encoded again."""
+
+    SLOT_BITS = 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(_SEPARATOR)
-        self.by_word = self.separator is not None and splits_at_space(self.tokenizer)
+        self.by_word = splits_at_space(self.tokenizer)
+        self.letters = self._plain_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.empty(0, np.uint64)
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.empty(0, np.int32)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.slots = np.full((2, 1 << self.SLOT_BITS), -1, np.int32)
+        self.n, self.used = 0, 0
+        self.hashes = np.empty(1 << 16, np.uint64)
+        self.at = np.empty(1 << 16, np.int64)
+        self.length = np.empty(1 << 16, np.int32)
+        self.ids = np.empty(1 << 18, np.int32)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain_letters(self) -> dict[int, str]:
+        """Latin letters and what the tokenizer makes of each before its merges: one piece, case apart."""
+        out = {}
+        pre, norm = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        if pre is None or norm is None:
+            return out
+        for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]:
+            got = pre.pre_tokenize_str(norm.normalize_str(chr(c)))
+            if len(got) == 1:
+                out[c] = got[0][0]
+        return out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids) of words: many at a time between separators, except those that hold one themselves."""
-        odd = [i for i, w in enumerate(words) if "<|" in w]
-        plain = words if not odd else [("a" if "<|" in w else w) for w in words]
-        lengths, ids = [], []
-        for lo in range(0, len(plain), 4096):
-            part = plain[lo : lo + 4096]
-            got = np.array(self.tokenizer.encode(f" {_SEPARATOR} ".join([*part, ""]), add_special_tokens=False).ids, np.int32)
-            ends = np.flatnonzero(got == self.separator)
-            assert len(ends) == len(part)
-            lengths.append(np.diff(ends, prepend=-1) - 1)
-            ids.append(got[got != self.separator])
-        n, x = np.concatenate(lengths), np.concatenate(ids)
-        if odd:
-            at = np.cumsum(n) - n
-            parts = [x[a : a + k] for a, k in zip(at.tolist(), n.tolist(), strict=True)]
-            for i, e in zip(odd, self.encode([words[i] for i in odd]), strict=True):
-                parts[i] = e
-            n, x = np.array([len(p) for p in parts]), np.concatenate(parts)
-        return n, x
-
-    def look_up(self, hashes: np.ndarray, word: list | None, spell) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of each word's ids; spell(i) gives the text of word i, for those not known."""
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, unique)
-        known = place < len(self.hashes)
-        known[known] = self.hashes[place[known]] == unique[known]
-        if not known.all():
-            if len(self.hashes) > STORE_WORDS:
+        """(lengths, ids) of words. A word of Latin letters, with or without a comma or full stop behind, is one piece
+        (or two) to the tokenizer, so its model is asked directly; other words go through the whole tokenizer. A few of
+        the former are encoded both ways each time, and if they ever differ the short way is given up."""
+        out: list = [None] * len(words)
+        rest = range(len(words))
+        if self.letters:
+            model, letters = self.tokenizer.model.tokenize, self.letters
+            marks = {m: [t.id for t in model(m)] for m in (",", ".")}
+            rest = []
+            quick = []
+            for i, w in enumerate(words):
+                m = _PLAIN.fullmatch(w)
+                if m is None:
+                    rest.append(i)
+                    continue
+                ids = [t.id for t in model(m[1].translate(letters))]
+                out[i] = ids + marks[m[2]] if m[2] else ids
+                quick.append(i)
+            trial = quick[:: max(1, len(quick) // 16)]
+            if [out[i] for i in trial] != self.encode([words[i] for i in trial]):
+                self.letters = {}
+                rest = range(len(words))
+        if rest:
+            for i, ids in zip(rest, self.encode([words[i] for i in rest]), strict=True):
+                out[i] = ids
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        return n, np.fromiter((x for ids in out for x in ids), np.int32, int(n.sum()))
+
+    def _slots_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = np.uint64(64 - self.SLOT_BITS)
+        return (h >> top).astype(np.int64), ((h << np.uint64(self.SLOT_BITS)) >> top).astype(np.int64)
+
+    def look_up(self, h: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of each word's ids in self.ids; spell(i) gives the text of word i, for those not known."""
+        one, two = self._slots_of(h)
+        e = self.slots[0][one]
+        bad = (e < 0) | (self.hashes[np.maximum(e, 0)] != h)
+        f = self.slots[1][two[bad]]
+        e[bad] = np.where((f >= 0) & (self.hashes[np.maximum(f, 0)] == h[bad]), f, -1)
+        miss = np.flatnonzero(e < 0)
+        if len(miss):
+            if self.n + len(miss) > STORE_WORDS and self.n:
                 self.clear()
-                known[:] = False
-            new = np.flatnonzero(~known)
-            n, x = self.encode_words([spell(i) for i in first[new].tolist()])
-            h = np.concatenate([self.hashes, unique[new]])
-            length = np.concatenate([np.diff(self.at), n])
-            start = np.concatenate([self.at[:-1], len(self.ids) + np.cumsum(n) - n])
-            pool = np.concatenate([self.ids, x])
-            o = np.argsort(h, kind="stable")
-            self.hashes, length, start = h[o], length[o], start[o]
-            self.at = np.concatenate([[0], np.cumsum(length)])
-            inner = np.arange(self.at[-1]) - np.repeat(self.at[:-1], length)
-            self.ids = pool[np.repeat(start, length) + inner]
-            place = np.searchsorted(self.hashes, unique)
-        return self.at[place][back], np.diff(self.at)[place][back]
+                return self.look_up(h, spell)
+            u, first = np.unique(h[miss], return_index=True)
+            length, ids = self.encode_words([spell(i) for i in miss[first].tolist()])
+            base = self.n
+            self.n += len(u)
+            self.hashes, self.at, self.length = (_grown(x, self.n) for x in (self.hashes, self.at, self.length))
+            self.ids = _grown(self.ids, self.used + len(ids))
+            self.hashes[base : self.n] = u
+            self.at[base : self.n] = self.used + np.cumsum(length) - length
+            self.length[base : self.n] = length
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            one, two = self._slots_of(u)
+            own = np.arange(base, self.n, dtype=np.int32)
+            lost = self.slots[0][one] >= 0  # its first slot is another word's: take the second
+            self.slots[0][one[~lost]] = own[~lost]
+            self.slots[1][two[lost]] = own[lost]
+            e[miss] = base + np.searchsorted(u, h[miss])
+        return self.at[e], self.length[e].astype(np.int64)
+
+
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([,.]?)")
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(x):
+        return x
+    out = np.empty(max(n, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
 
 
 def splits_at_space(tokenizer) -> bool:
@@ -120,13 +167,13 @@ def _encode(path: str, end_id: int | None):
                 if store.by_word:
                     ws, we, h, own = T.word_table(piece, starts[lo:hi] - a, ends[lo:hi] - a)
                     raw = piece.tobytes()
-                    at, n = store.look_up(h, None, lambda i, raw=raw, ws=ws, we=we: raw[ws[i] : we[i]].decode()) if len(h) else (np.empty(0, np.int64),) * 2
+                    at, n = store.look_up(h, lambda i, raw=raw, ws=ws, we=we: raw[ws[i] : we[i]].decode()) if len(h) else (np.empty(0, np.int64),) * 2
                     upto = np.concatenate([[0], np.cumsum(n)])
                     ids = store.ids[np.repeat(at, n) + np.arange(upto[-1]) - np.repeat(upto[:-1], n)] if len(h) else np.empty(0, np.int32)
                     offsets = upto[own]
                 else:
                     parts = store.encode([x.as_py() or "" for x in batch.column(1).slice(lo, hi - lo)])
-                    ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
+                    ids = np.array([x for p in parts for x in p], np.int32)
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
                 if extra:
                     ids = np.insert(ids, offsets[1:], extra[0])
