@@ -66,14 +66,14 @@ class _Store:
         return out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids) of words. A word of Latin letters, with or without a comma or full stop behind, is one piece
-        (or two) to the tokenizer, so its model is asked directly; other words go through the whole tokenizer. A few of
+        """(lengths, ids) of words. A word of Latin letters, with or without marks behind, is one piece (or two) to
+        the tokenizer, so its model is asked directly; other words go through the whole tokenizer. A few of
         the former are encoded both ways each time, and if they ever differ the short way is given up."""
         out: list = [None] * len(words)
         rest = range(len(words))
         if self.letters:
             model, letters = self.tokenizer.model.tokenize, self.letters
-            marks = {m: [t.id for t in model(m)] for m in (",", ".")}
+            marks: dict[str, list[int]] = {"": []}
             rest = []
             quick = []
             for i, w in enumerate(words):
@@ -82,7 +82,9 @@ class _Store:
                     rest.append(i)
                     continue
                 ids = [t.id for t in model(m[1].translate(letters))]
-                out[i] = ids + marks[m[2]] if m[2] else ids
+                if m[2] not in marks:
+                    marks[m[2]] = [t.id for t in model(m[2])]
+                out[i] = ids + marks[m[2]]
                 quick.append(i)
             trial = quick[:: max(1, len(quick) // 16)]
             if [out[i] for i in trial] != self.encode([words[i] for i in trial]):
@@ -130,7 +132,7 @@ class _Store:
         return self.at[e], self.length[e].astype(np.int64)
 
 
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([,.]?)")
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def _grown(x: np.ndarray, n: int) -> np.ndarray:
