@@ -1,0 +1,414 @@
+"""Each operator against a plain version on awkward rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldwright.llm import components, decontaminate, exchange, jaccard, language_id, mixing, mpeg_audio, substring_dedup, suffix_dedup, tokens, url_filter, warc
+from fieldwright.llm import text as T
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, doc string, taken string"
+
+
+def corpus(seed: int = 5, n: int = 60) -> list[tuple]:
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 7))) for _ in range(300)] + ["Élan", "naïve", " x"]
+    shared = [" ".join(r.choice(vocab) for _ in range(r.randint(20, 40))) for _ in range(4)]
+    out = []
+    for i in range(n):
+        words = [r.choice(vocab) for _ in range(r.randint(0, 120))]
+        if r.random() < 0.4:
+            at = r.randint(0, len(words))
+            words[at:at] = r.choice(shared).split(" ")
+        text = r.choice([" ", "  ", "\n", "\t"]).join(words)
+        if out and r.random() < 0.3:
+            text = out[r.randrange(len(out))][1]
+            if text and r.random() < 0.6:
+                w = text.split(" ")
+                w[r.randrange(len(w))] = r.choice(vocab)
+                text = " ".join(w)
+        out.append((i * 3 % n if n % 3 else i, text, r.choice(["aa", "bb"]), r.choice(["s1", "s2", None]), len(text or ""), "clash", "clash", "clash"))
+    out[3] = (out[3][0], None, None, None, None, None, None, None)
+    out[4] = (out[4][0], "", "aa", "s1", 0, "", "", "")
+    out[5] = (out[5][0], "ab" * 400, "aa", "s1", 800, "", "", "")
+    out[6] = (out[6][0], "ab" * 500, "aa", "s1", 1000, "", "", "")
+    out[7] = (out[7][0], "a " * 300, "aa", "s1", 600, "", "", "")
+    out[8] = (out[8][0], "a " * 310, "aa", "s1", 620, "", "", "")
+    return out
+
+
+ROWS = corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def covered(seqs: dict[int, list], length: int) -> dict[int, list[bool]]:
+    least: dict = {}
+    for d in sorted(seqs):
+        for i in range(len(seqs[d]) - length + 1):
+            least.setdefault(tuple(seqs[d][i : i + length]), d)
+    out = {}
+    for d, s in seqs.items():
+        gone = [False] * len(s)
+        for i in range(len(s) - length + 1):
+            if least[tuple(s[i : i + length])] < d:
+                gone[i : i + length] = [True] * length
+        out[d] = gone
+    return out
+
+
+def test_suffix_dedup(docs, none):
+    seqs = {r[0]: list((r[1] or "").encode()) for r in ROWS}
+    gone = covered(seqs, 50)
+    got = {r["doc"]: r for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert len(got) == len(ROWS)
+    for d, s in seqs.items():
+        kept = bytes(b for b, g in zip(s, gone[d], strict=True) if not g)
+        spans = sum(g and (i == 0 or not gone[d][i - 1]) for i, g in enumerate(gone[d]))
+        r = got[d]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == (len(s), sum(gone[d]), spans, kept)
+        assert sum(b - a for a, b in r["spans"]) == sum(gone[d])
+    assert any(r["n_removed"] for r in got.values())
+    assert suffix_dedup.suffix_dedup(none).count() == 0
+
+
+def test_suffix_dedup_wide_anchors(docs, monkeypatch):
+    """Anchors with many different runs are dealt by window; the result stays."""
+    before = {r["doc"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(docs).collect()}
+    from fieldwright.llm import seeds
+
+    monkeypatch.setattr(seeds, "WIDE", 1)
+    assert {r["doc"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(docs).collect()} == before
+
+
+def test_repeated_ids_count_as_one_document(spark):
+    text = "the same long text of well over fifty bytes, twice under one id and once under another"
+    rows = [(1, text), (1, text), (2, text), (None, "x" * 60), (None, "x" * 60)]
+    got = sorted((r["doc"] or 0, r["n_removed"]) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (0, 0), (1, 0), (1, 0), (2, len(text))]
+
+
+def test_substring_dedup(docs, none):
+    seqs = {r[0]: WORD.findall((r[1] or "").encode()) for r in ROWS}
+    gone = covered(seqs, 13)
+    got = {r["doc"]: r for r in substring_dedup.substring_dedup(docs).collect()}
+    for d, s in seqs.items():
+        kept = b" ".join(w for w, g in zip(s, gone[d], strict=True) if not g)
+        assert (got[d]["n_words"], got[d]["n_removed"], bytes(got[d]["kept"])) == (len(s), sum(gone[d]), kept)
+    assert any(r["n_removed"] for r in got.values())
+    assert substring_dedup.substring_dedup(none).count() == 0
+
+
+def shingles(text: str | None) -> set:
+    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    w = WORD.findall((text or "").encode().translate(low))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_components(rows) -> dict:
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = defaultdict(int)
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = sets[i][1], sets[j][1]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for i in range(len(sets)):
+        least.setdefault(find(i), []).append(sets[i][0])
+    return {sets[i][0]: (len(sets[i][1]), min(least[find(i)]), links[i]) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("block_rows", [1500, 2])
+def test_jaccard_components(docs, none, monkeypatch, block_rows):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block_rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute_components(ROWS)
+    assert any(k != v[1] for k, v in got.items())
+    if block_rows > 2:
+        kept = {r["doc_id"] for r in jaccard.keep_one(docs).collect()}
+        assert kept == {v[1] for v in got.values()}
+        assert jaccard.jaccard_components(none).count() == 0
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    rows = [(4, a), (4, b), (9, a), (None, b), (None, ""), (7, None)]
+    got = sorted(((r["doc_id"] or -1), r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(4, 4, 4), (4, 2, 4), (9, 4, 4), (-1, 2, 4), (-1, 0, -1), (7, 0, 7)])
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r["a"]: r["root"] for r in components.components(links).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert components.components(links.where("a > 1000")).count() == 0
+
+
+def test_decontaminate(spark, none):
+    r = random.Random(3)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(15, 30)))) for i in range(6)] + [(6, None), (7, ""), (8, "w1 w2"), (9, "alpha beta gamma delta epsilon zeta")]
+    clean = [" ".join(r.choice(vocab) for _ in range(80)) for _ in range(20)]
+    whole = clean[0] + " " + items[0][1].upper() + " " + clean[1]
+    two = items[1][1].split()
+    two[4], two[9] = "other", "words"
+    part = " ".join(items[2][1].split()[:8])
+    rows = [(i, t) for i, t in enumerate(clean)] + [(50, whole), (51, clean[2] + " " + " ".join(two)), (52, clean[3] + " " + part), (53, None), (54, ""), (55, "x alpha beta gamma delta epsilon zeta y"), (55, "again w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(docs, bench).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["doc_id"], r["items"]) for r in got if r["contaminated"]) == [(50, [0]), (51, [1]), (55, [9])]
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()) == sorted(i for i, t in rows if not (i in (50, 51) or (i == 55 and "alpha" in t)))
+    assert decontaminate.decontaminate(none, bench).count() == 0
+    assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.where("item_id > 99")).collect())
+
+
+def test_decontaminate_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    items = [(i, " ".join(f"a{i}b{k}" for k in range(20))) for i in range(8)]
+    docs = spark.createDataFrame([(i, f"x y {t} z") for i, t in items] + [(99, "clean words only"), (99, "clean words only")], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], tuple(r["items"])) for r in got) == [*((i, (i,)) for i in range(8)), (99, ()), (99, ())]
+
+
+def test_mixing(docs, none):
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(ROWS)
+    sizes = defaultdict(int)
+    taken = defaultdict(int)
+    target = {}
+    for r in got:
+        assert r["mix_size"] == len(WORD.findall((r["text"] or "").encode())) and 0 <= r["mix_taken"] <= 2 * r["mix_size"]
+        sizes[r["source"]] += r["mix_size"]
+        taken[r["source"]] += r["mix_taken"]
+        target[r["source"]] = r["mix_target"]
+    total = sum(sizes.values())
+    assert sum(target.values()) == pytest.approx(1.5 * total)
+    # weights 3, 1, 2 for s1, s2, null, with the excess over twice the size shared again
+    weight, want, left, open_ = {"s1": 3, "s2": 1, None: 2}, {}, 1.5 * total, {"s1", "s2", None}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= 2 * sizes[s]}
+        if not over:
+            want |= share
+            break
+        for s in over:
+            want[s] = 2 * sizes[s]
+            left -= want[s]
+        open_ -= over
+    assert target == pytest.approx(want)
+    assert all(taken[s] == int(target[s] + 1e-9) for s in sizes)
+    again = {r["doc_id"]: r["mix_taken"] for r in mixing.mix_sources(docs.repartition(2)).collect()}
+    assert again == {r["doc_id"]: r["mix_taken"] for r in got}
+    assert mixing.mix_sources(none).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["mix_passes"] for r in got)
+
+
+URLS = [
+    "http://a.com", "https://www.example.com/en/x", "http://EXAMPLE.com/en/1?q", "http://m.example.com/EN/1", "http://x.net/es/", "http://net/fr/a#b",
+    "ftp://notexample.com/en/", "no scheme/en/", None, "", "http://spam-farm.org/x", "http://example.com/en", "http://x.com/://y", "http://h/xxx", "http://www.example.com/en/", "http://www.example.com/en/",
+]
+
+
+def judge_url(u: str | None):
+    host = path = ""
+    if u and "://" in u:
+        rest = u.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    best = None
+    for verdict, rule in (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")):
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith(f".{h}")) and path.startswith(f"/{p}") and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    own = "block" if "spam" in host or "/xxx" in path else "allow"
+    return host, path, best[0] if best else None, best[1] if best else own
+
+
+@pytest.mark.parametrize("plan_rules", [2000, 0])
+def test_url_filter(spark, monkeypatch, plan_rules):
+    monkeypatch.setattr(url_filter, "PLAN_RULES", plan_rules)
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
+    got = {r["page_id"]: (r["url_host"], r["url_path"], r["url_rule"], r["url_verdict"]) for r in url_filter.filter_urls(pages).collect()}
+    assert got == {i: judge_url(u) for i, u in enumerate(URLS)}
+    assert url_filter.filter_urls(pages.where("page_id < 0")).count() == 0
+
+
+def test_warc_round_trip(spark):
+    big = "long é" * 200_000
+    rows = [(1, "http://a/\r\nx", "<p>é</p>\r\n\r\nWARC/1.1\r\n"), (2, "http://b", "same"), (3, None, "same"), (0, "http://c", "same"), (4, "http://d", None), (5, "http://e", ""), (None, "http://f", "alone"), (6, "http://g", big)]
+    path = exchange.new_path(spark, "warc-test")
+    warc.write_warc(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, type string"), path)
+    records = warc.read_warc(spark, path)
+    assert records.count() == 3 * len(rows)
+    got = {r["page_id"]: r for r in warc.assemble_transactions(records).collect()}
+    for i, _, html in rows:
+        body = (html or "").encode()
+        same = [j for j, _, h in rows if (h or "") == (html or "") and j is not None]
+        least = min(same) if same else None
+        r = got[i]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if i == least else ("revisit", least))
+        assert r["request"] and r["metadata"] and (r["record_type"] == "revisit" or bytes(r["response"]["payload"]) == body)
+    empty = exchange.new_path(spark, "warc-test")
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.assemble_transactions(warc.read_warc(spark, empty)).count() == 0
+
+
+def test_warc_reads_gzip_members_and_plain():
+    import gzip
+
+    one = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nx:y\r\n\r\n"
+    for data in (one * 3, gzip.compress(one) * 3, gzip.compress(one * 3)):
+        assert [b for _, b in warc.records(data)] == [b"x:y"] * 3
+    with pytest.raises(ValueError):
+        list(warc.records(one[:-9]))
+
+
+def test_token_files(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    extra = [(900, "It's 5pm: <|endoftext|> don't stop… ÀÉ ß İ ﬁ 你好 é 'S"), (900, "tie"), (None, "no id")]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    path = exchange.new_path(spark, "tokens-test")
+    tokens.write_token_files(more, path, tokens.tokenizer_path())
+    got = sorted(tokens.token_index(spark, path).collect(), key=lambda r: r["start"])
+    want = sorted([(r[0], r[1]) for r in ROWS] + extra, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    start = 0
+    assert len(got) == len(want)
+    for r, (d, text) in zip(got, want, strict=True):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert tokens.read_token_files(spark, path).where("doc_id = 900").count() == 2
+    empty = exchange.new_path(spark, "tokens-test")
+    tokens.write_token_files(none, empty, tokens.tokenizer_path())
+    assert tokens.token_index(spark, empty).count() == 0
+
+
+def test_mpeg_round_trip(docs, none):
+    want = {r[0]: (r[1] or "").encode() for r in ROWS}
+    got = mpeg_audio.parse_audio(mpeg_audio.encode_audio(docs)).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        data = mpeg_audio.pad_payload(want[r["doc_id"]])
+        assert bytes(r["payload"]) == data and r["n_bytes"] == len(want[r["doc_id"]])
+        assert (r["n_frames"], r["samples"], r["hertz"], r["damaged"], r["skipped"]) == (len(data) // 576, len(data) // 576 * 1152, 48000, 0, 0)
+        assert r["table_frames"] == r["n_frames"] and len(r["offsets"]) == r["n_frames"]
+    assert mpeg_audio.encode_audio(none).count() == 0
+
+
+def test_mpeg_resynchronises_and_verifies():
+    s = bytearray(mpeg_audio.write_stream(b"x" * 5000))
+    clean = mpeg_audio.read_stream(bytes(s))
+    cut = bytes(s[: clean.offsets[3]]) + b"\xff\xfbjunk\xff" + bytes(s[clean.offsets[3] :]) + b"TAG" + b"title".ljust(125, b"\0")
+    got = mpeg_audio.read_stream(cut)
+    assert got.samples < clean.samples + 1 and got.skipped >= 7 and len(got.offsets) >= len(clean.offsets) - 1
+    s[clean.offsets[2] + 8] ^= 1
+    assert mpeg_audio.read_stream(bytes(s)).damaged == 1
+    frame = bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(413)  # 128 kbit/s, 44.1 kHz, stereo, no checksum
+    padded = bytes([0xFF, 0xFB, 0x92, 0x00]) + bytes(414)
+    mixed = mpeg_audio.read_stream(frame + padded + frame + frame)
+    assert mixed.offsets.tolist() == [0, 417, 835, 1252] and mixed.samples == 4 * 1152 and mixed.hertz == 44100 and mixed.checked == 0
+    for junk in (b"", b"\xff", b"no audio at all" * 50, b"ID3"):
+        assert mpeg_audio.read_stream(junk).kind == "none"
+
+
+def test_language_id(spark, none):
+    r = random.Random(1)
+    kinds = {"aa": ["tak", "tok", "kat", "kot"], "bb": ["lim", "mil", "nim", "min"]}
+    rows = [(i, " ".join("".join(r.choice(kinds[k]) for _ in range(r.randint(1, 3))) for _ in range(r.randint(3, 40))), k) for i in range(300) for k in [r.choice(["aa", "bb"])]]
+    rows += [(1000, None, "aa"), (1001, "", None), (1002, "123 ... %%", "bb"), (1003, "tok" * 3000, None), (None, "nim mil", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.learn(docs)
+    got = {x["doc_id"]: x for x in language_id.identify_language(docs, models).collect()}
+    assert all(got[i]["lang_pred"] == k for i, _, k in rows[:300])
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003, None)] == ["und", "und", "und", "aa", "bb"]
+    assert all(0 <= x["score"] <= 1 for x in got.values()) and got[1000]["score"] == 0
+    kept = {x["doc_id"] for x in language_id.keep_identified(docs, models).collect()}
+    assert kept == {i for i, x in got.items() if not x["rejected"]} and {1000, 1001, 1002}.isdisjoint(kept)
+    held = {x["doc_id"]: x["h"] for x in docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert all(h == (d is not None and zlib.crc32(str(d).encode()) % 4 == 2) for d, h in held.items())
+    nothing = language_id.learn(none)
+    assert [x["lang_pred"] for x in language_id.identify_language(docs.limit(3), nothing).collect()] == ["und"] * 3
+
+
+def test_kneser_ney_sums_to_one():
+    texts = ["abcab abd bad cab abba"] * 2
+    tables = language_id._kneser_ney(texts, -np.log(200.0))
+    key, logp = tables[0][0]
+    assert np.exp(logp).sum() < 1 and len(key) == 5  # a b c d and the end mark, and some weight for what was not seen
+
+
+def test_words_at_piece_edges(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "PIECE", 64)
+    texts = ["a" * 5000, "b c", "", None, "x" * 63 + " y", "d " * 200, " e"]
+    ws, we, h, own = T.word_table(*T.text_bytes(pa.array(texts, pa.string())))
+    want = [WORD.findall((t or "").encode()) for t in texts]
+    assert np.diff(own).tolist() == [len(w) for w in want]
+    raw = "".join(t or "" for t in texts).encode()
+    assert [raw[a:b] for a, b in zip(ws, we, strict=True)] == [x for w in want for x in w]
+    monkeypatch.setattr(T, "PIECE", 1 << 19)
+    assert (T.word_table(*T.text_bytes(pa.array(texts, pa.string())))[2] == h).all()
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    item = " ".join(r.choice(vocab) for _ in range(20))
+    base = [" ".join(r.choice(vocab) for _ in range(60)) for _ in range(40)]
+    rows = [(i, t, "aa", "s1" if i % 2 else "s2", len(t)) for i, t in enumerate(base)]
+    rows += [(100, base[0] + " more", "aa", "s1", 0), (101, base[1], "aa", "s2", 0), (102, base[2] + " " + item, "aa", "s1", 0), (103, "12 34", "aa", "s1", 0), (104, None, None, None, 0)]
+    rows[2] = (2, base[2][:100], "aa", "s2", 0)
+    d = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, d).collect()
+    left = {i: t for i, t, *_ in rows if i not in (100, 101, 102, 103, 104)}
+    assert {x["doc_id"] for x in got} <= set(left)
+    sources = {i: s for i, _, _, s, _ in rows}
+    words = {s: sum(len(t.split()) for i, t in left.items() if sources[i] == s) for s in ("s1", "s2")}
+    taken = {s: sum(len(left[x["doc_id"]].split()) for x in got if sources[x["doc_id"]] == s) for s in words}
+    total = 1.5 * sum(words.values())
+    want = {"s1": min(2 * words["s1"], total * 3 / 4)}
+    want["s2"] = min(2 * words["s2"], total - want["s1"])
+    assert all(abs(taken[s] - want[s]) <= 61 for s in want)
+    assert json.loads(json.dumps([k for k, _ in corpus_pipeline.STAGES])) == ["language_id", "jaccard_join", "decontamination", "mixing", "token_files"]
