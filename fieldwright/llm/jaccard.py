@@ -114,34 +114,46 @@ def _sample(keys: np.ndarray, words: int, percent: int):
     return run
 
 
-_COUNT_DDL = "doc long, n long, shared long"
+def _count(keys: np.ndarray):
+    """Blocks of (document, shingles, shared ones) by document, from the blocks of one range of shingle hashes."""
+    n = len(keys)
+
+    def run(blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        out = []
+        ds, hs, flags = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, bool)]
+        for kind, block in blocks:
+            x = X.unpack(block)
+            if kind == 1:  # this bucket's own documents
+                out.append(x)
+                continue
+            hs.append(X.unsqueeze(*x[-2:]))
+            ds.append(np.repeat(x[0], x[1]) if kind == 0 else np.zeros(len(hs[-1]), np.int64))
+            flags.append(np.full(len(hs[-1]), kind == 2))
+        d, h, flagged = np.concatenate(ds), np.concatenate(hs), np.concatenate(flags)
+        if len(h):
+            o = np.argsort(h)
+            d, h, flagged = d[o], h[o], flagged[o]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(at, len(h)))
+            u, c = np.unique(d[np.repeat(size > 1, size) & ~flagged], return_counts=True)
+            out.append((u, np.zeros(len(u), np.uint32), c.astype(np.uint32)))
+        d, m, c = (np.concatenate(x) for x in zip(*out, strict=True))
+        o, cut = X.split_by((T.mix(d.astype(np.uint64)) % np.uint64(n)).astype(np.int64), n)
+        yield from X.block_batches([(int(keys[b]), 0, X.pack(d[i], m[i], c[i])) for b in np.flatnonzero(np.diff(cut)) for i in [o[cut[b] : cut[b + 1]]]])
 
+    return run
 
-def _count(blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    def out(d, n, s):
-        for lo in range(0, len(d), 200_000):
-            c = slice(lo, lo + 200_000)
-            yield pa.record_batch([pa.array(d[c].astype(np.int64)), pa.array(n[c].astype(np.int64)), pa.array(s[c].astype(np.int64))], names=["doc", "n", "shared"])
 
-    ds, hs, flags = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, bool)]
-    for kind, block in blocks:
-        x = X.unpack(block)
-        if kind == 1:
-            yield from out(*x)
-            continue
-        hs.append(X.unsqueeze(*x[-2:]))
-        ds.append(np.repeat(x[0], x[1]) if kind == 0 else np.zeros(len(hs[-1]), np.int64))
-        flags.append(np.full(len(hs[-1]), kind == 2))
-    d, h, flagged = np.concatenate(ds), np.concatenate(hs), np.concatenate(flags)
-    if not len(h):
-        return
-    o = np.argsort(h)
-    d, h, flagged = d[o], h[o], flagged[o]
-    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    size = np.diff(np.append(at, len(h)))
-    hit = np.repeat(size > 1, size) & ~flagged
-    u, c = np.unique(d[hit], return_counts=True)
-    yield from out(u, np.zeros(len(u)), c)
+def _total(blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(doc, n, shared) of each document of a bucket."""
+    d, m, c = (np.concatenate(x) for x in zip(*(X.unpack(b) for _, b in blocks), strict=True))
+    u, back = np.unique(d, return_inverse=True)
+    n = np.zeros(len(u), np.int64)
+    np.maximum.at(n, back, m.astype(np.int64))
+    shared = np.bincount(back, weights=c).astype(np.int64)
+    for lo in range(0, len(u), 200_000):
+        s = slice(lo, lo + 200_000)
+        yield pa.record_batch([pa.array(u[s]), pa.array(n[s]), pa.array(shared[s])], names=["doc", "n", "shared"])
 
 
 def _sets(words: int):
@@ -280,7 +292,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     out, unique = _rooted(docs, id_col, text_col, words, percent)
     stay = out.where("doc = root").select(F.col("doc").alias("_stays")).distinct()
     key = _key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"), unique)
-    kept = docs.withColumn("_key", key).join(stay, F.col("_key") == F.col("_stays"), "left_semi")
+    kept = docs.withColumn("_key", key).join(stay.hint("merge"), F.col("_key") == F.col("_stays"), "left_semi")
     return (kept if unique else kept.dropDuplicates(["_key"])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -292,22 +304,23 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     rows = docs.select(ident.alias("doc_id"), _key(ident, text, unique).alias("doc"), text.alias("text"))
     texts = rows.select("doc", "text")
     n = X.reducers(docs)
-    blocks = X.arrow(texts, _sample(X.bucket_keys(n), words, percent), X.BLOCKS_DDL)
-    counts = X.reduce_blocks(blocks, n, _count, _COUNT_DDL).groupBy("doc").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
-    counts = X.keep(counts, "shingle-counts")
+    keys = X.bucket_keys(n)
+    blocks = X.arrow(texts, _sample(keys, words, percent), X.BLOCKS_DDL)
+    met = X.reduce_blocks(blocks, n, _count(keys), X.BLOCKS_DDL)
+    counts = X.keep(X.reduce_blocks(met, n, _total, "doc long, n long, shared long"), "shingle-counts")
     lack = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
     take = F.least(F.col("n"), F.expr(f"(n - (n * {percent} + 99) div 100) * 8 div 5") + 1)
     rest = counts.where((F.col("n") > 0) & (F.col("shared") >= take - lack)).select("doc")
 
-    sets = X.arrow(texts.join(rest, "doc").select("doc", "text"), _sets(words), "doc long, n long, s1 long, s2 long, grams array<long>")
+    sets = X.arrow(texts.join(rest.hint("merge"), "doc").select("doc", "text"), _sets(words), "doc long, n long, s1 long, s2 long, grams array<long>")
     sets = X.keep(sets if unique else sets.dropDuplicates(["doc"]), "shingle-sets")
     classes = sets.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     members = X.keep(sets.select("doc", "s1", "s2").join(classes, ["s1", "s2"]).select("doc", "rep", "copies"), "members")
-    reps = X.keep(sets.join(members.where("doc = rep").select("doc", "copies"), "doc").select("doc", "n", "copies", "grams"), "rows")
+    reps = X.keep(sets.join(members.where("doc = rep").select("doc", "copies").hint("merge"), "doc").select("doc", "n", "copies", "grams"), "rows")
 
     entries = reps.select("doc", "n", F.explode("grams").alias("g"))
     postings = entries.groupBy("g").agg(F.count("*").alias("c"), F.min("doc").alias("m")).where("c > 1")
-    shared = entries.join(postings, "g")
+    shared = entries.join(postings.hint("merge"), "g")
     # sets beside the shared shingles: those of one document only come first in order and take their share of the prefix
     per_doc = "PARTITION BY doc"
     ranked = shared.select("doc", "m", F.expr(f"row_number() OVER ({per_doc} ORDER BY c, g) + n - count(*) OVER ({per_doc})").alias("place"), (F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1).alias("prefix"))
@@ -321,7 +334,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         .select("doc", "family", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) AS i, greatest(x, block) AS j))")).alias("t"))
         .select("doc", "family", "block", "t.i", "t.j")
     )
-    rows_of = tasks.join(reps, "doc").select("family", "i", "j", "block", "doc", "copies", "grams")
+    rows_of = tasks.join(reps.hint("merge"), "doc").select("family", "i", "j", "block", "doc", "copies", "grams")
     dealt = rows_of.repartition(X.reducers(docs), "family", "i", "j").sortWithinPartitions("family", "i", "j")
     found = X.keep(X.arrow(dealt, _product(percent), "doc long, root long, links long"), "links-found")
     roots = components(found.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")))
