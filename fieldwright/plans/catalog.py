@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from fieldwright.plans import documents, scoring
+from fieldwright.plans.registry import QUERIES, SQL
+
+_MODULES = (documents, scoring)
+
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return SQL
