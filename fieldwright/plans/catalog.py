@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fieldwright.plans import documents, scoring
+from fieldwright.plans import documents, labels, scoring
 from fieldwright.plans.registry import QUERIES, SQL
 
-_MODULES = (documents, scoring)
+_MODULES = (documents, labels, scoring)
 
 
 def queries() -> dict:
