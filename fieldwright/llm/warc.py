@@ -148,6 +148,8 @@ def records(data) -> Iterator[tuple[dict[str, str], bytes]]:
         block = reader.take(int(fields["content-length"]))
         reader.take(4)
         yield fields, block
+    if reader.have[reader.at :].strip(b"\r\n\0"):
+        raise ValueError("archive ends within a record")
 
 
 def _parse(batches):
