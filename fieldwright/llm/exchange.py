@@ -20,6 +20,8 @@ from fieldwright.code import ship_code
 
 #: Input bytes for each reducer, at most (by Spark's estimate of the input's size).
 REDUCER_BYTES = 32 << 20
+#: Spark gives tables of unknown size the largest long.
+_UNKNOWN = 1 << 60
 _own_folder: list[str] = []
 
 
@@ -45,9 +47,11 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
 
 
 def reducers(frame: DataFrame) -> int:
-    """The session's shuffle partitions, or more where the input is large."""
+    """The session's shuffle partitions, or more where the tables read are large. Tables of unknown size don't count."""
     spark = frame.sparkSession
-    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < _UNKNOWN)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, size // REDUCER_BYTES))
 
 

@@ -53,7 +53,7 @@ ROWS = corpus()
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(ROWS, DOCS).repartition(5)
+    return exchange.keep(spark.createDataFrame(ROWS, DOCS).repartition(3), "test-docs")
 
 
 @pytest.fixture(scope="module")
