@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 
 import duckdb
@@ -103,7 +104,7 @@ def test_results_round_trip(spark, tmp_path):
     (tmp_path / "m:free" / "a.json").write_text('{"variant_id": "a__L0_clean",\n "model": "m", "record": {"grand_total": 1.5, "line_items": [1, "x", null]}, "error": null, "refusal": false}')
     (tmp_path / "m:free" / "b.json").write_text('{"variant_id": "b__L0_clean", "model": "m", "record": null, "error": "HTTP 402"}')
     got = calls.read_results(spark, str(tmp_path))
-    assert got.count() == 2 and got.where("error IS NULL").first()["record"] == '{"grand_total":1.5,"line_items":[1,"x",null]}'
+    assert got.count() == 2 and json.loads(got.where("error IS NULL").first()["record"]) == {"grand_total": 1.5, "line_items": [1, "x", None]}
     wanted = spark.createDataFrame([("a__L0_clean",), ("b__L0_clean",)], "variant_id string")
     assert [r[0] for r in calls.to_do(wanted, got, ["variant_id"]).collect()] == ["b__L0_clean"]
 
