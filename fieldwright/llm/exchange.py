@@ -7,6 +7,7 @@ stays small at any size, and a row costs no more than its integers.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,10 +87,31 @@ def bucket_keys(n: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers are kept from task to task beside a full JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def arrow(frame: DataFrame, function: Callable, ddl: str) -> DataFrame:
-    """mapInArrow, with this package at hand in the workers."""
+    """mapInArrow, with this package at hand in the workers; what a task has freed is given back between batches."""
     ship_code(frame.sparkSession)
-    return frame.mapInArrow(function, ddl)
+
+    def run(batches):
+        yield from function(_one_by_one(batches))
+        give_back()
+
+    return frame.mapInArrow(run, ddl)
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
 
 
 BLOCKS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])

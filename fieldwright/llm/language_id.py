@@ -243,6 +243,7 @@ def _predict(shared, name: str):
                 rejected = ~known | (entropy > limit)
                 lang = names[np.where(known, best, k)]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, mask=~known), pa.array(rejected)], schema=schema)
+            batch = buf = piece = raw = None  # not held while the next batch is read
 
     return run
 

@@ -23,6 +23,8 @@ from fieldwright.llm import text as T
 END_ID = 1
 #: Words a worker keeps ids for; beyond it the store starts anew.
 STORE_WORDS = 1_500_000
+#: Bytes of text that are encoded at once (a longer text is alone).
+SLICE_BYTES = 1 << 20
 _stores: dict = {}
 
 
@@ -31,7 +33,7 @@ class _Store:
     tokenizer and nothing in it reaches across, which `splits_at_space` checks. Words are found through two tables of
     slots; a word that lost both of its slots to others is encoded again."""
 
-    SLOT_BITS = 22
+    SLOT_BITS = 21
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -163,7 +165,7 @@ def _encode(path: str, end_id: int | None):
         store = _stores[path]
         for batch in batches:
             buf, starts, ends = T.text_bytes(batch.column(1))
-            for lo, hi in T.slices(starts, ends):
+            for lo, hi in T.slices(starts, ends, SLICE_BYTES):
                 a, b = int(starts[lo]), int(ends[hi - 1])
                 piece = buf[a:b]
                 if store.by_word:
@@ -182,6 +184,7 @@ def _encode(path: str, end_id: int | None):
                     offsets = offsets + np.arange(hi - lo + 1)
                 column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), column], names=["doc_id", "ids"])
+            batch = buf = piece = raw = None  # not held while the next batch is read
 
     return run
 
