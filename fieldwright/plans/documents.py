@@ -95,7 +95,7 @@ def close_match(spark, sf):
 
 @query("levenshtein", "SELECT c_custkey, CAST(levenshtein(c_name, s_name) AS INT) AS v FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 10 = s_suppkey % 10")
 def levenshtein(spark, sf):
-    j = t(spark, sf, "customer").join(t(spark, sf, "supplier"), F.expr("c_nationkey = s_nationkey AND c_custkey % 10 = s_suppkey % 10"))
+    j = t(spark, sf, "customer").join(t(spark, sf, "supplier"), F.expr("c_nationkey = s_nationkey"))
     return j.select("c_custkey", F.levenshtein("c_name", "s_name").alias("v"))
 
 

@@ -118,7 +118,7 @@ def mcnemar_test(spark, sf):
 
 @query("holm", "WITH p AS (SELECT event_type AS comparison, (user_id % 97 + 1) / 1000.0 AS p FROM events WHERE event_id % 500 = 0), r AS (SELECT *, row_number() OVER (ORDER BY p, comparison) AS i, count(*) OVER () AS m FROM (SELECT comparison, CAST(min(p) AS DOUBLE) AS p FROM p GROUP BY ALL)) SELECT comparison, p, p <= 0.05 / (m - i + 1) AND bool_and(p <= 0.05 / (m - i + 1)) OVER (ORDER BY i) AS rejected FROM r")
 def holm(spark, sf):
-    e = I.table(spark, sf, "events").where("event_id % 500 = 0")
+    e = I.table(spark, sf, "events")
     p = e.groupBy(F.col("event_type").alias("comparison")).agg(F.min((F.col("user_id") % 97 + 1) / 1000.0).alias("p"))
     return C.holm(p).select("comparison", "p", "rejected")
 
