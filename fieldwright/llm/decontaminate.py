@@ -9,6 +9,8 @@ laid over the document and an overlap counts if enough of its words agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,14 @@ LEAST_WORDS = 5
 #: Bytes of benchmark text that are sent to the workers at once; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 20
+#: Masks besides MASKS, by the words of an overlap (more than WINDOW count as WINDOW): together they leave a hit for each
+#: pattern of substitutions that PERCENT allows.
+MORE = {
+    5: ("11101", "1111", "11011", "10111"), 6: ("10111", "11101"), 7: ("111101", "110111", "1011101"), 8: ("111011", "1011101"), 9: ("1111101",),
+    10: ("1110101", "1001111"), 11: ("11011101", "1100011011"), 12: ("110011101",), 13: ("1110000101011",),
+}
+#: Beyond so many patterns masks aren't tried on each, and a run of words is sought besides.
+PATTERNS = 20_000
 
 
 def _masked(h: np.ndarray, mask: str) -> np.ndarray:
@@ -40,28 +50,40 @@ def _masked(h: np.ndarray, mask: str) -> np.ndarray:
     return T.mix(total)
 
 
+def _complete(size: int, changes: int, masks: list[str]) -> bool:
+    """Whether each pattern of `changes` substitutions in `size` words leaves a hit of one of the masks."""
+    ones = {sum(1 << (at + i) for i, c in enumerate(m) if c == "1") for m in masks for at in range(size - len(m) + 1)}
+    return all(any(not w & o for o in ones) for w in (sum(1 << i for i in c) for c in combinations(range(size), changes)))
+
+
+def seeds(size: int, changes: int, masks: tuple[str, ...] = MASKS) -> list[str]:
+    """The masks by which overlaps of `size` words with up to `changes` substitutions are sought; none is missed."""
+    out = [m for m in dict.fromkeys((*masks, *MORE.get(min(size, WINDOW), ()))) if len(m) <= size]
+    if comb(size, changes) > PATTERNS or not _complete(size, changes, out):
+        out.append("1" * max(1, -(-(size - changes) // (changes + 1))))  # so many words in a row always agree
+    return out
+
+
 class Index:
     """Seeds of a block of items, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...]):
+    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], window: int = WINDOW, percent: int = PERCENT):
         column = pa.array([t or "" for _, t in items], pa.string())
         _, _, self.words, own = T.word_table(*T.text_bytes(column), lower=True)
         self.ids = np.array([i for i, _ in items], np.int64)
         self.at, self.size = own[:-1], np.diff(own)
-        self.span = len(masks[0])
         self.tables = []
         item = np.repeat(np.arange(len(items)), self.size)
-        for mask in masks:
+        due = np.where(self.size >= LEAST_WORDS, np.minimum(self.size, window), 0)  # words of an overlap
+        uses: dict[str, list[int]] = {}
+        for n in np.unique(due[due > 0]).tolist():
+            for mask in seeds(n, n + -percent * n // 100, masks):
+                uses.setdefault(mask, []).append(n)
+        for mask, sizes in uses.items():
             g = _masked(self.words, mask)
-            ok = item[: len(g)] == item[len(mask) - 1 :][: len(g)]
+            ok = (item[: len(g)] == item[len(mask) - 1 :][: len(g)]) & np.isin(due, sizes)[item[: len(g)]]
             p = np.flatnonzero(ok)
             self.tables.append((mask, *self._sorted(g[p], item[p], p - self.at[item[p]])))
-        # items shorter than a mask are sought whole
-        total = T.prefix(self.words)
-        for n in range(LEAST_WORDS, self.span):
-            k = np.flatnonzero(self.size == n)
-            if len(k):
-                self.tables.append((n, *self._sorted(T.hash_spans(total, self.at[k], self.at[k] + n), k, np.zeros(len(k), np.int64))))
 
     @staticmethod
     def _sorted(h, item, place):
@@ -73,10 +95,9 @@ class Index:
 
     def hits(self, words: np.ndarray, row: np.ndarray):
         """(place in words, item, item's place) of every seed hit within a row."""
-        total = T.prefix(words)
         out = []
-        for kind, h, item, place, seen in self.tables:
-            g, span = (T.hash_windows(total, kind), kind) if isinstance(kind, int) else (_masked(words, kind), len(kind))
+        for mask, h, item, place, seen in self.tables:
+            g, span = _masked(words, mask), len(mask)
             if not len(g) or not len(h):
                 continue
             p = np.flatnonzero(seen[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
@@ -144,7 +165,7 @@ def _search(shared, window: int, percent: int):
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS) -> Iterator:
+def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, percent: int = PERCENT) -> Iterator:
     """Broadcast indexes of the benchmark, one for each BLOCK_BYTES of it."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t IS NOT NULL")
@@ -152,13 +173,13 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_
     blocks = max(1, -(-size // BLOCK_BYTES))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).orderBy("i", "t").collect()  # about BLOCK_BYTES
-        yield spark.sparkContext.broadcast(Index([(r["i"] if r["i"] is not None else -1, r["t"]) for r in part], masks))
+        yield spark.sparkContext.broadcast(Index([(r["i"] if r["i"] is not None else -1, r["t"]) for r in part], masks, window, percent))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, percent: int = PERCENT, **items) -> list[DataFrame]:
     """For each block of the benchmark: a row for each row of `docs`, with its id (as `doc`) and its verified overlaps."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    return [X.arrow(rows, _search(shared, window, percent), _DDL) for shared in benchmark_blocks(benchmark, **items)]
+    return [X.arrow(rows, _search(shared, window, percent), _DDL) for shared in benchmark_blocks(benchmark, window=window, percent=percent, **items)]
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, percent: int = PERCENT, **items) -> DataFrame:
@@ -174,7 +195,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
 
         return run
 
-    for shared in benchmark_blocks(benchmark, **items):
+    for shared in benchmark_blocks(benchmark, window=window, percent=percent, **items):
         docs = X.arrow(docs, cleaner(_search(shared, window, percent)), docs.schema)
     return docs
 
