@@ -37,6 +37,9 @@ _HEADER = bytes([0xFF, 0xFA, 0xC4, 0xC0])  # MPEG-1 Layer III, checksum, 224 kbi
 _SIDE = 17
 _FRAME = 672
 _BODY = 4 + 2 + _SIDE
+_TAG = _FRAME - 128
+#: Where the payload lies in a frame: not where a reader would look for the letters TAG of an ID3v1 tag, if the frame is the last.
+_PLACES = np.r_[_BODY:_TAG, _TAG + 3 : _BODY + UNIT + 3]
 
 
 def _crc_table() -> np.ndarray:
@@ -78,7 +81,7 @@ def write_stream(data: bytes) -> bytes:
     n = len(payload) // UNIT
     frames = np.zeros((n, _FRAME), np.uint8)
     frames[:, :6] = np.frombuffer(_HEADER + _CHECK, np.uint8)
-    frames[:, _BODY : _BODY + UNIT] = np.frombuffer(payload, np.uint8).reshape(n, UNIT)
+    frames[:, _PLACES] = np.frombuffer(payload, np.uint8).reshape(n, UNIT)
     toc = bytes(min(255, 256 * (i * n // 100 + 1) // (n + 1)) for i in range(100))
     info = b"Info" + struct.pack(">III", 7, n, (n + 1) * _FRAME) + toc
     head = _HEADER + _CHECK + bytes(_SIDE) + info
@@ -236,10 +239,18 @@ def payload_of(b: bytes, s: Stream) -> bytes:
     if not len(s.offsets):
         return b""
     buf = np.frombuffer(b, np.uint8)
-    if len(s.offsets) == 1 or (np.diff(s.offsets) == _FRAME).all():
+    if s.offsets[0] + _FRAME * len(s.offsets) <= len(b) and (np.diff(s.offsets) == _FRAME).all():
         lo = int(s.offsets[0])
-        return buf[lo : lo + _FRAME * len(s.offsets)].reshape(-1, _FRAME)[:, _BODY : _BODY + UNIT].tobytes()
-    return b"".join(b[o + _BODY : o + _BODY + UNIT] for o in s.offsets.tolist())
+        return buf[lo : lo + _FRAME * len(s.offsets)].reshape(-1, _FRAME)[:, _PLACES].tobytes()
+    return b"".join(b[o + _BODY : o + _TAG] + b[o + _TAG + 3 : o + _BODY + UNIT + 3] for o in s.offsets.tolist())
+
+
+def whole_payload(b: bytes, s: Stream) -> bytes:
+    """The payload of a stream of write_stream; raises where frames or bytes are missing."""
+    p = payload_of(b, s)
+    if s.table_frames != len(s.offsets) or len(p) < int(s.tags["bytes"]):
+        raise ValueError(f"{len(s.offsets)} of {s.table_frames} frames, {len(p)} payload bytes for {s.tags['bytes']}")
+    return p
 
 
 def describe(s: Stream) -> str:
@@ -313,7 +324,7 @@ def _digest(batches):
         for ident, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             b = media.as_buffer().to_pybytes()
             s = read_stream(b)
-            p = payload_of(b, s)
+            p = whole_payload(b, s)
             rows.append((ident, int(s.tags["bytes"]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(b), hashlib.sha256(b).hexdigest(), describe(s)))
         if rows:
             c = list(zip(*rows, strict=True))
