@@ -108,7 +108,7 @@ def _sample(keys: np.ndarray, words: int, percent: int):
                 i = o[cut[b] : cut[b + 1]]
                 i = i[np.argsort(d[i], kind="stable")]
                 g = np.flatnonzero(np.append(True, d[i][1:] != d[i][:-1]))
-                rows.append((int(keys[b]), 0, X.pack(doc[d[i][g]], np.diff(np.append(g, len(i))).astype(np.uint16), *X.squeeze(h[i] << np.uint64(16)))))
+                rows.append((int(keys[b]), 0, X.pack(doc[d[i][g]], np.diff(np.append(g, len(i))).astype(np.uint32), *X.squeeze(h[i] << np.uint64(16)))))
             yield from X.block_batches(rows)
 
     return run
