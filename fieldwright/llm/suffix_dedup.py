@@ -3,8 +3,8 @@
 Suffixes start in buckets of their initial q-gram (the anchors of `seeds`, then
 the first eight bytes). A bucket is refined by sorting its suffixes on the bucket
 identifiers of later offsets: identifiers of depth 8 at offset 8 give depth 16,
-those of depth 16 at offset 16 give depth 32, and depth 32 at a last offset gives
-the full length. Each round writes its new identifiers back and the next round
+those of depth 16 at offset 16 give depth 32, and so on; a last offset, of length
+less the depth reached, gives the full length. Each round writes its new identifiers back and the next round
 reuses them; a bucket of one suffix is left out of later rounds.
 
 Only depth `length` is asked for, so no bucket is refined beyond it. Buckets of
@@ -47,11 +47,11 @@ def refine_buckets(length: int, doc, more, lead, anchor, units, begin):
     n = len(units)
     padded = np.concatenate([units, np.zeros(8, np.uint8)])
     grams = np.zeros(n, np.uint64)
-    for k in range(8):
+    depth = min(8, length)
+    for k in range(depth):
         grams = (grams << np.uint64(8)) | padded[k : k + n].astype(np.uint64)
     pointer = np.unique(grams, return_inverse=True)[1].astype(np.uint32)
     del grams
-    depth = 8
     times = more + 1
     run_of = np.repeat(np.arange(len(doc)), times)
     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -69,13 +69,14 @@ def refine_buckets(length: int, doc, more, lead, anchor, units, begin):
         np.maximum.at(hi, bucket, doc[run_of])
         return (lo < hi)[bucket], lo[bucket]
 
-    for target in (16, 32, length):
+    targets = [x for x in (depth << k for k in range(1, 60)) if x < length] + [length]
+    for target in targets:
         keep, _ = alive(bucket)
         run_of, start, step, bucket = run_of[keep], start[keep], step[keep], bucket[keep]
         if not len(run_of):
             return run_of, step
         # identifiers of depth `target` for every suffix that a later round can point to
-        offset = target - depth if target < 2 * depth else depth
+        offset = target - depth
         if target < length:
             need = np.zeros(n + 1, np.int32)
             np.add.at(need, start, 1)
