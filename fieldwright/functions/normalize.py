@@ -1,20 +1,29 @@
-"""Typed normalisation as Columns: each gives struct(value, ok).
+"""Typed normalisation: each type gives struct(value, ok).
 
 ok is false where a value can't be read as its type; (null, true) is a value that
 was cleaned to nothing. Nothing is ever repaired.
+
+A normaliser is written once, as steps over a folded text (`fold`): a generator that yields a Column to be worked out and
+receives it back as a name for the result. `staged` runs the steps of many normalisers as projections of a frame, one after
+another, which keeps them in generated code; the functions on Columns (`money`, `date`, ...) bind the same steps within one
+expression.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwright.functions import constants as K
 
 AMOUNT = "decimal(28,2)"
 QUANTITY = "decimal(28,3)"
+#: Steps end in (value, ok).
+Steps = Generator[Column, Column, tuple[Column, Column]]
+#: White space of ASCII beyond the space; folding leaves no other.
+_BLANKS = "\t\n\r\x0b\x0c"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,133 +31,213 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind(steps: Generator, end: Callable) -> Column:
+    """Steps as one expression; `end` makes it of what they return."""
+
+    def go(sent: Column | None) -> Column:
+        try:
+            value = steps.send(sent)
+        except StopIteration as stop:
+            return end(stop.value)
+        return let(value, go)
+
+    return go(None)
+
+
+def inline(steps: Callable[..., Steps]) -> Callable[..., Column]:
+    """Steps over a folded text as a function on any text Column, to struct(value, ok)."""
+
+    def bound(c: Column, *args) -> Column:
+        return let(fold(c), lambda x: bind(steps(x, *args), lambda end: result(*end)))
+
+    bound.__doc__ = steps.__doc__
+    return bound
+
+
+def staged(frame: DataFrame, columns: dict[str, Steps]) -> DataFrame:
+    """The frame with <name> and <name>_ok for each of the steps; all their n-th steps are one projection."""
+    running, sent, spare = dict(columns), dict.fromkeys(columns), []
+    while running:
+        now = {}
+        for name, run in list(running.items()):
+            try:
+                value = run.send(sent[name])
+            except StopIteration as end:
+                now[name], now[f"{name}_ok"] = end.value
+                del running[name]
+            else:
+                step = f"__step{len(spare)}_{name}"
+                now[step], sent[name] = value, F.col(f"`{step}`")
+                spare.append(step)
+        frame = frame.withColumns(now)
+    return frame.drop(*spare)
+
+
 def result(value: Column, ok: Column) -> Column:
     return F.struct(value.alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
-def clean_text(c: Column) -> Column:
-    """No-break spaces to spaces, runs of white space to one space, trimmed."""
-    return F.trim(F.regexp_replace(c, r"[\s\x{00A0}]+", " "))
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility form, by the library that Spark ships for collations."""
+    return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
 
 
-def is_null_token(c: Column) -> Column:
-    """Null, or a text that means 'no value'."""
-    return c.isNull() | F.lower(F.trim(c)).isin(*K.NULL_TOKENS)
+def fold(c: Column) -> Column:
+    """Texts of other than ASCII characters in compatibility form, their white space as spaces; others unchanged."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(nfkc(c), r"(?U)\s", " ")).otherwise(c)
+
 
+def _clean(c: Column) -> Column:
+    """A folded text with runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
-def exact_upper(c: Column) -> Column:
-    v = F.replace(F.upper(clean_text(c)), F.lit(" "), F.lit(""))
-    return result(F.nullif(v, F.lit("")), F.lit(True))
 
+def clean_text(c: Column) -> Column:
+    """Compatibility forms to plain ones, runs of white space to one space, trimmed."""
+    return _clean(fold(c))
 
-def exact_alnum(c: Column) -> Column:
-    return result(F.nullif(F.upper(F.regexp_replace(c, "[^0-9A-Za-z]", "")), F.lit("")), F.lit(True))
 
+def is_null_token(c: Column) -> Column:
+    """Null, or a text that means 'no value'."""
+    return c.isNull() | F.lower(F.btrim(c, F.lit(f" {_BLANKS}\u00a0"))).isin(*K.NULL_TOKENS)
 
-def _amount_text(c: Column) -> Column:
-    """An amount as digits behind '-' for a minus, '~' for parentheses around it, or '~-' for both."""
-    s = F.trim(F.regexp_replace(clean_text(c), f"(?i){K.CURRENCY}", ""))
-    s = F.regexp_replace(s, r"^[.:/ ]+(?=[^.:/ ])|(?<=[^ .:])[ .:]+$", "")
-    s = F.regexp_replace(s, r"^\((.*)\)$", "~$1")
-    return F.regexp_replace(F.regexp_replace(s, r"(?i)\b(CR|DR)\b", ""), "[, ]", "")
 
+def _solid(c: Column) -> Column:
+    """A folded text without white space."""
+    return F.translate(c, f" {_BLANKS}", "")
 
-def _decimal(c: Column, kind: str, percent: bool = False) -> Column:
-    def signed(s: Column) -> Column:
-        digits = F.regexp_replace(s, "^(~-?|-)", "")
-        wide = digits.try_cast("decimal(38,9)" if percent else kind)
-        value = F.when(s.rlike("^[~-]"), -wide).otherwise(wide)
-        return F.struct(digits.isin("", "-", ".").alias("empty"), value.alias("value"))
 
-    def read(x: Column) -> Column:
-        value = x["value"]
-        if percent:
-            value = F.when((value > 0) & (value < 1), value * 100).otherwise(value).try_cast(kind)
-        return result(F.when(~x["empty"], value), x["empty"].isNull() | x["empty"] | value.isNotNull())
+def _exact_upper(c: Column) -> Steps:
+    """Upper case, without spaces."""
+    v = yield _solid(F.upper(c))
+    return F.nullif(v, F.lit("")), F.lit(True)
 
-    return let(let(_amount_text(F.replace(c, F.lit("%"), F.lit("")) if percent else c), signed), read)
 
+def _exact_alnum(c: Column) -> Steps:
+    """Letters and digits, upper case."""
+    v = yield F.upper(F.regexp_replace(c, "[^0-9A-Za-z]", ""))
+    return F.nullif(v, F.lit("")), F.lit(True)
 
-def money(c: Column) -> Column:
-    return _decimal(c, AMOUNT)
 
+def _decimal(c: Column, kind: str, percent: bool = False) -> Steps:
+    """An amount: currency, separators and CR/DR go, parentheses and one leading '-' are a minus."""
+    text = F.translate(F.replace(c, F.lit("%"), F.lit("")) if percent else c, _BLANKS, " " * len(_BLANKS))
+    s = F.regexp_replace(text, f"(?i){K.CURRENCY}", "")
+    s = yield F.rtrim(F.ltrim(s, F.lit(".:/ ")), F.lit(" .:"))
+    around = yield s.startswith("(") & s.endswith(")") & (F.length(s) > 1)
+    s = F.when(around, s.substr(F.lit(2), F.length(s) - 2)).otherwise(s)
+    s = yield F.translate(F.regexp_replace(s, r"(?i)\b(CR|DR)\b", ""), ", ", "")
+    minus = yield s.startswith("-")
+    digits = yield F.when(minus, s.substr(F.lit(2), F.length(s))).otherwise(s)
+    wide = yield digits.try_cast("decimal(38,9)" if percent else kind)
+    value = yield F.when(minus | around, -wide).otherwise(wide)
+    empty = yield digits.isin("", "-", ".")
+    value = F.when((value > 0) & (value < 1), value * 100).otherwise(value).try_cast(kind) if percent else value
+    value = yield F.when(~empty, value)
+    return value, digits.isNull() | empty | value.isNotNull()
 
-def quantity(c: Column) -> Column:
-    return _decimal(c, QUANTITY)
 
+def _money(c: Column) -> Steps:
+    """Two decimals, half up."""
+    return (yield from _decimal(c, AMOUNT))
 
-def percent(c: Column) -> Column:
-    return _decimal(c, AMOUNT, percent=True)
 
+def _quantity(c: Column) -> Steps:
+    """Three decimals, half up."""
+    return (yield from _decimal(c, QUANTITY))
 
-#: Day-first forms with the shape of their texts, in the order in which they are tried; those with two-digit years apart.
-_LONG = (
-    ("yyyy-M-d", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"), ("d-M-yyyy", "[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}"), ("d/M/yyyy", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"),
-    ("d.M.yyyy", "[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}"), ("d M yyyy", "[0-9]{1,2} [0-9]{1,2} [0-9]{4}"), ("d-MMM-yyyy", "[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}"),
-    ("d MMM yyyy", "[0-9]{1,2} [A-Za-z]{3} [0-9]{4}"), ("d-MMMM-yyyy", "[0-9]{1,2}-[A-Za-z]{4,}-[0-9]{4}"), ("d MMMM yyyy", "[0-9]{1,2} [A-Za-z]{4,} [0-9]{4}"),
-    ("yyyy/M/d", "[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"), ("yyyy.M.d", "[0-9]{4}[.][0-9]{1,2}[.][0-9]{1,2}"),
-)
-_SHORT = (
-    ("d-M-yy", "[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}"), ("d/M/yy", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}"), ("d.M.yy", "[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{2}"),
-    ("d-MMM-yy", "[0-9]{1,2}-[A-Za-z]{3}-[0-9]{2}"), ("d MMM yy", "[0-9]{1,2} [A-Za-z]{3} [0-9]{2}"),
-)
 
+def _percent(c: Column) -> Steps:
+    """Percent with two decimals; a fraction below 1 is taken times 100."""
+    return (yield from _decimal(c, AMOUNT, True))
 
-def date(c: Column) -> Column:
-    """ISO text of a date; two-digit years from 69 are of the 20th century."""
-    s = F.regexp_replace(clean_text(c), r"(?i)^(dated?|invoice date|dt\.?)\s*[:\-]?\s*", "")
-    s = F.regexp_replace(s, r"(?i)(\d)(st|nd|rd|th)\b", "$1")
-    s = F.trim(F.regexp_replace(F.replace(s, F.lit(","), F.lit(" ")), r"\s+", " "))
 
-    def tried(x: Column, forms) -> Column:
-        return F.coalesce(*[F.when(x.rlike(f"^{shape}$"), F.try_to_date(x, form)) for form, shape in forms])
+_MONTHS = "january february march april may june july august september october november december".split()
+#: Shapes of dates, each to 'year|month|day': year first, day first, with a month's short or full name. A two-digit year
+#: stands behind a number with '-', '/' or '.', or behind a short name.
+_SHAPES = (
+    (r"^([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})$", "$1|$3|$4"),
+    (r"^([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4}|[0-9]{2})$", "$4|$3|$1"),
+    (r"^([0-9]{1,2}) ([0-9]{1,2}) ([0-9]{4})$", "$3|$2|$1"),
+    (r"^([0-9]{1,2})([- ])([a-z]{3})\2([0-9]{4}|[0-9]{2})$", "$4|$3|$1"),
+    (r"^([0-9]{1,2})([- ])([a-z]{4,})\2([0-9]{4})$", "$4|$3|$1"),
+)
 
-    def read(x: Column) -> Column:
-        short = let(tried(x, _SHORT), lambda d: F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d))
-        return F.coalesce(tried(x, _LONG), short)
 
-    return let(let(s, read), lambda d: result(F.date_format(d, "yyyy-MM-dd"), c.isNull() | d.isNotNull()))
+def _date(c: Column) -> Steps:
+    """ISO text of a date, day first; two-digit years from 69 are of the 20th century."""
+    s = F.regexp_replace(F.lower(_clean(c)), r"^(dated?|invoice date|dt\.?)\s*[:\-]?\s*", "")
+    s = F.replace(F.regexp_replace(s, r"([0-9])(st|nd|rd|th)\b", "$1"), F.lit(","), F.lit(" "))
+    s = yield F.trim(F.regexp_replace(s, " +", " "))
+    for shape, order in _SHAPES:
+        s = F.regexp_replace(s, shape, order)
+    s = yield s
+    parts = [F.substring_index(s, "|", 1), F.substring_index(F.substring_index(s, "|", 2), "|", -1), F.substring_index(s, "|", -1)]
+    year, month, day = parts
+    number = _map({**{m[:3]: f"{i + 1:02d}" for i, m in enumerate(_MONTHS)}, **{m: f"{i + 1:02d}" for i, m in enumerate(_MONTHS)}})
+    month = yield F.when(month.rlike("^[0-9]"), F.lpad(month, 2, "0")).otherwise(F.try_element_at(number, month))
+    year = yield F.when(F.length(year) == 2, F.concat(F.when(year >= "69", "19").otherwise("20"), year)).otherwise(year)
+    iso = yield F.when(F.contains(s, F.lit("|")) & (year != "0000"), F.concat(year, F.lit("-"), month, F.lit("-"), F.lpad(day, 2, "0")))
+    value = yield F.when(iso.try_cast("date").isNotNull(), iso)
+    return value, c.isNull() | value.isNotNull()
 
 
 def _map(d: dict[str, str]) -> Column:
     return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in d.items()) + ")")
 
 
-def state(c: Column) -> Column:
+def _state(c: Column) -> Steps:
     """Two-digit code of a state given by code, code and name, name, alias or part of a name."""
     names = F.expr("array(" + ", ".join(f"named_struct('name', '{v.lower()}', 'code', '{k}')" for k, v in K.STATE_CODES.items()) + ")")
     by_name, by_alias = _map({v.lower(): k for k, v in K.STATE_CODES.items()}), _map(K.STATE_ALIASES)
+    s = yield F.lower(_clean(c))
+    code = yield F.regexp_extract(s, r"^([0-9]{2})\b", 1)
+    n = yield F.trim(F.regexp_replace(F.regexp_replace(s, r"^[0-9]{1,2}\s*[-–:]\s*", ""), "[^a-z& .]", ""))
+    named = yield F.coalesce(F.when(code.isin(*K.STATE_CODES), code), F.try_element_at(by_name, n), F.try_element_at(by_alias, n))
+    part = F.filter(names, lambda x: (n != "") & (F.contains(x["name"], n) | F.contains(n, x["name"])))
+    v = yield F.when(named.isNull() & n.isNotNull(), F.get(part, F.lit(0))["code"]).otherwise(named)
+    return v, c.isNull() | v.isNotNull()
 
-    def named(n: Column) -> Column:
-        part = F.filter(names, lambda x: (n != "") & (F.contains(x["name"], n) | F.contains(n, x["name"])))
-        return F.coalesce(F.try_element_at(by_name, n), F.try_element_at(by_alias, n), F.get(part, F.lit(0))["code"])
 
-    def read(s: Column) -> Column:
-        code = F.regexp_extract(s, r"^([0-9]{2})\b", 1)
-        name = F.trim(F.regexp_replace(F.trim(F.regexp_replace(s, r"^[0-9]{1,2}\s*[-–:]\s*", "")), "[^a-z& .]", ""))
-        return F.coalesce(F.when(code.isin(*K.STATE_CODES), code), let(name, named))
+def _boolean(c: Column) -> Steps:
+    """Yes or no, by two lists of words."""
+    s = yield F.lower(_clean(c))
+    v = yield F.when(s.isin(*K.TRUE_WORDS), True).when(s.isin(*K.FALSE_WORDS), False)
+    return v, c.isNull() | v.isNotNull()
 
-    return let(let(F.lower(clean_text(c)), read), lambda v: result(v, c.isNull() | v.isNotNull()))
 
+def _fuzzy_key(c: Column, address: bool = False) -> Steps:
+    """Lower-case words of a name or address, without those that say nothing."""
+    s = F.regexp_replace(F.lower(_clean(c)), K.ADDRESS_NOISE if address else K.LEGAL_SUFFIX, " ")
+    s = yield F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+    return F.nullif(s, F.lit("")), F.lit(True)
 
-def boolean(c: Column) -> Column:
-    v = let(F.lower(clean_text(c)), lambda s: F.when(s.isin(*K.TRUE_WORDS), True).when(s.isin(*K.FALSE_WORDS), False))
-    return result(v, c.isNull() | v.isNotNull())
 
+def _address(c: Column) -> Steps:
+    """As names, by the words of addresses."""
+    return (yield from _fuzzy_key(c, True))
 
-def fuzzy_key(c: Column, address: bool = False) -> Column:
-    s = F.regexp_replace(F.lower(clean_text(c)), K.ADDRESS_NOISE if address else K.LEGAL_SUFFIX, " ")
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9 ]", " "), " +", " "))
-    return result(F.nullif(s, F.lit("")), F.lit(True))
 
-
-NORMALIZERS: dict[str, Callable[[Column], Column]] = {
-    "exact_upper": exact_upper, "exact_alnum": exact_alnum, "date": date, "money": money, "quantity": quantity,
-    "percent": percent, "state": state, "bool": boolean, "fuzzy": fuzzy_key,
+STEPS: dict[str, Callable[[Column], Steps]] = {
+    "exact_upper": _exact_upper, "exact_alnum": _exact_alnum, "date": _date, "money": _money, "quantity": _quantity,
+    "percent": _percent, "state": _state, "bool": _boolean, "fuzzy": _fuzzy_key, "address": _address,
 }
 
+exact_upper, exact_alnum, date, money, quantity, percent, state, boolean, fuzzy_key = (
+    inline(s) for s in (_exact_upper, _exact_alnum, _date, _money, _quantity, _percent, _state, _boolean, _fuzzy_key)
+)
+
+
+def kind_of(ftype: str, field: str = "") -> str:
+    """The normaliser of a field: its type, but addresses have a rule of their own."""
+    return "address" if ftype == "fuzzy" and "address" in field else ftype
+
+
+def present(c: Column) -> Column:
+    """The value, null where it means 'no value'."""
+    return F.when(~is_null_token(c), c)
+
 
 def normalize(ftype: str, c: Column, field: str = "") -> Column:
     """struct(value, ok) by field type; values that mean 'no value' are null first."""
-    c = F.when(~is_null_token(c), c)
-    return fuzzy_key(c, "address" in field) if ftype == "fuzzy" else NORMALIZERS[ftype](c)
+    return inline(STEPS[kind_of(ftype, field)])(present(c))

@@ -17,17 +17,19 @@ from fieldwright.operators import score as S
 
 
 def pairs(models: DataFrame) -> DataFrame:
-    """All unordered pairs of the different models, which are few."""
+    """All unordered pairs of the different models."""
     m = models.select("model").distinct()
-    return m.select(F.col("model").alias("model_a")).join(F.broadcast(m.select(F.col("model").alias("model_b"))), F.col("model_a") < F.col("model_b"))
+    return m.select(F.col("model").alias("model_a")).join(m.select(F.col("model").alias("model_b")), F.col("model_a") < F.col("model_b"))
 
 
 def paired(docs: DataFrame, flag: str = "exact", unit: Iterable[str] = ("level", "doc_id")) -> DataFrame:
-    """Documents that two models both have, with both flags. The join is on the document; models only order the pair."""
+    """Documents that two models both have, with both flags: one aggregation by document, whose models are few."""
     unit = list(unit)
-    a = docs.select(*unit, F.col("model").alias("model_a"), F.col(flag).alias(f"{flag}_a"))
-    b = docs.select(*unit, F.col("model").alias("model_b"), F.col(flag).alias(f"{flag}_b"))
-    return a.join(b, unit).where("model_a < model_b")
+    m = docs.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("model", F.col(flag).alias("flag")))).alias("m"))
+    both = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["model"] > a["model"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return m.select(*unit, F.explode(both).alias("p")).select(
+        *unit, F.col("p.a.model").alias("model_a"), F.col("p.b.model").alias("model_b"), F.col("p.a.flag").alias(f"{flag}_a"), F.col("p.b.flag").alias(f"{flag}_b")
+    )
 
 
 def last_of(runs: DataFrame, unit: list[str], order: list[str]) -> DataFrame:
@@ -82,14 +84,26 @@ def ratio_by_cluster(results: DataFrame, by: Iterable[str], cluster: str) -> Dat
     return results.groupBy(*by, cluster).agg(F.count_if(F.col("outcome") == S.CORRECT).alias("num"), F.count_if(due).alias("den")).withColumnRenamed(cluster, "cluster")
 
 
+#: Numbers that a block of draws may hold.
+BLOCK = 4_000_000
+
+
 def bootstrap_interval(num: np.ndarray, den: np.ndarray, draws: int, alpha: float, seed: int) -> tuple[float, float, float]:
-    """Point and percentile interval of sum(num) / sum(den), resampling clusters."""
-    if not len(num) or den.sum() == 0:
+    """Point and percentile interval of sum(num) / sum(den), resampling clusters.
+
+    A draw of as many clusters as there are is how often each cluster comes; draws are made in blocks, so memory follows
+    the clusters and not the draws.
+    """
+    k = len(num)
+    if not k or den.sum() == 0:
         return (float("nan"),) * 3
-    pick = np.random.default_rng(seed).integers(0, len(num), (draws, len(num)))
-    top, low = num[pick].sum(1), den[pick].sum(1)
-    values = top[low > 0] / low[low > 0]
-    lo, hi = np.quantile(values, [alpha / 2, 1 - alpha / 2])
+    r = np.random.default_rng(seed)
+    values = []
+    for lo in range(0, draws, max(1, BLOCK // k)):
+        times = r.multinomial(k, np.full(k, 1 / k), min(max(1, BLOCK // k), draws - lo))
+        top, low = times @ num, times @ den
+        values.append(top[low > 0] / low[low > 0])
+    lo, hi = np.quantile(np.concatenate(values), [alpha / 2, 1 - alpha / 2])
     return float(num.sum() / den.sum()), float(lo), float(hi)
 
 

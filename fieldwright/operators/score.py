@@ -1,4 +1,8 @@
-"""Five-way outcomes of fields, as one long fact table."""
+"""Five-way outcomes of fields, as one long fact table.
+
+Records become rows of fields before anything is normalised, so each type's rules stand in the plan once, whatever the
+number of fields; truth that is compared with many predictions is normalised before it meets them (`prepare_truth`).
+"""
 
 from __future__ import annotations
 
@@ -7,69 +11,230 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldwright.code import ship_code
 from fieldwright.functions import constants as K
 from fieldwright.functions import normalize as N
 from fieldwright.functions.similarity import fuzzy_score
-from fieldwright.operators.fields import BY_NAME, Field
+from fieldwright.operators.align import match_lines
+from fieldwright.operators.fields import BY_NAME, HEADER, LINE, Field
 
 CORRECT, WRONG, MISSING, SPURIOUS, ABSENT_OK = "correct", "wrong", "missing", "spurious", "absent_ok"
 OUTCOMES = (CORRECT, WRONG, MISSING, SPURIOUS, ABSENT_OK)
+NUMBERS = ("money", "quantity", "percent")
+#: Canonical texts of a zero amount.
+ZEROS = ("0.00", "0.000")
+ORDINAL = {n: i for i, n in enumerate(BY_NAME)}
+TRUTHS = "array<struct<ordinal:int,field:string,family:string,value:string>>"
+
+
+def family(ftype: str) -> str:
+    """Values are compared within a family of types: a zero amount is not the same as 'no'."""
+    return "number" if ftype in NUMBERS else "bool" if ftype == "bool" else "text"
+
+
+def _adjust(zero: Column | bool, t: Column, s: Column, t_null: Column, s_null: Column) -> N.Steps:
+    """Whether truth and prediction count as null: a zero for 'does not apply' is no invention, the prediction's first."""
+    zero = F.lit(zero) if isinstance(zero, bool) else zero
+    s_null = yield s_null | (zero & t_null & F.coalesce(s.isin(*ZEROS), F.lit(False)))
+    return t_null | (zero & s_null & F.coalesce(t.isin(*ZEROS), F.lit(False))), s_null
+
+
+def _outcome(t_null: Column, s_null: Column, bad: Column, equal: Column) -> Column:
+    return F.when(t_null & s_null, ABSENT_OK).when(t_null, SPURIOUS).when(s_null, MISSING).when(bad, WRONG).when(equal, CORRECT).otherwise(WRONG)
 
 
 def judge(field: Field, truth: Column, seen: Column, threshold: float = K.FUZZY_THRESHOLD) -> Column:
-    """struct(outcome, format_error, gt_norm, pred_norm, similarity) of one field."""
-    t, s = N.normalize(field.ftype, truth, field.name), N.normalize(field.ftype, seen, field.name)
+    """struct(outcome, format_error, gt_norm, pred_norm, similarity) of one field, as one expression."""
     fuzzy = field.ftype == "fuzzy"
+    t, s = N.normalize(field.ftype, truth, field.name), N.normalize(field.ftype, seen, field.name)
     score = fuzzy_score(t["value"], s["value"]) if fuzzy else F.lit(None).cast("double")
 
-    def decide(x: Column) -> Column:
-        tv, sv, t_null, s_null = x["t"]["value"], x["s"]["value"], x["tn"], x["sn"]
-        bad = ~x["s"]["ok"] & ~s_null
-        if field.zero_is_null:  # a zero for "does not apply" is no invention: the prediction first, then the truth
-            s_null = s_null | (t_null & F.coalesce(sv == 0, F.lit(False)))
-            t_null = t_null | (s_null & F.coalesce(tv == 0, F.lit(False)))
-        equal = x["score"] >= threshold if fuzzy else F.coalesce(tv == sv, F.lit(False))
-        outcome = (
-            F.when(t_null & s_null, ABSENT_OK)
-            .when(t_null, SPURIOUS)
-            .when(s_null, MISSING)
-            .when(bad, WRONG)
-            .when(equal, CORRECT)
-            .otherwise(WRONG)
-        )
+    def decide(c: Column):
+        t_null, s_null = yield from _adjust(field.zero_is_null, c["t"], c["s"], c["tn"], c["sn"])
+        null = yield F.struct(t_null.alias("t"), s_null.alias("s"))
+        equal = F.coalesce(c["score"] >= threshold if fuzzy else c["t"] == c["s"], F.lit(False))
         return F.struct(
-            outcome.alias("outcome"), bad.alias("format_error"), F.when(~t_null, tv.cast("string")).alias("gt_norm"),
-            F.when(~s_null, sv.cast("string")).alias("pred_norm"), x["score"].alias("similarity"),
+            _outcome(null["t"], null["s"], c["bad"], equal).alias("outcome"), c["bad"].alias("format_error"),
+            F.when(~null["t"], c["t"]).alias("gt_norm"), F.when(~null["s"], c["s"]).alias("pred_norm"), c["score"].alias("similarity"),
         )
 
-    sides = F.struct(t.alias("t"), s.alias("s"), N.is_null_token(truth).alias("tn"), N.is_null_token(seen).alias("sn"), score.alias("score"))
-    return N.let(sides, decide)
+    tn, sn = N.is_null_token(truth), N.is_null_token(seen)
+    sides = F.struct(t["value"].cast("string").alias("t"), s["value"].cast("string").alias("s"), tn.alias("tn"), sn.alias("sn"), (~s["ok"] & ~sn).alias("bad"), score.alias("score"))
+    return N.let(sides, lambda c: N.bind(decide(c), lambda end: end))
+
+
+def prepare_truth(frame: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """The frame with gn_<field>, the canonical text of each gt_<field>, for field_results to use."""
+    names = list(fields)
+    out = frame.withColumns({f"__{n}": N.fold(N.present(F.col(f"gt_{n}").cast("string"))) for n in names})
+    out = N.staged(out, {f"__n_{n}": N.STEPS[N.kind_of(BY_NAME[n].ftype, n)](F.col(f"__{n}")) for n in names})
+    return out.withColumns({f"gn_{n}": F.col(f"__n_{n}").cast("string") for n in names}).drop(*[f"{p}{n}{q}" for n in names for p, q in (("__", ""), ("__n_", ""), ("__n_", "_ok"))])
+
+
+def truths(fields: Iterable[str]) -> Column:
+    """All true values of a prepared record, in field order, for telling confusions of fields."""
+    each = [F.struct(F.lit(ORDINAL[n]).alias("ordinal"), F.lit(n).alias("field"), F.lit(family(BY_NAME[n].ftype)).alias("family"), F.when(~N.is_null_token(F.col(f"gt_{n}").cast("string")), F.col(f"gn_{n}")).alias("value")) for n in fields]
+    return F.array(*each)
+
+
+def hold(c: Column) -> Column:
+    """The same value, in a projection below which no filter is pushed.
+
+    A filter on a late column would carry the expressions of all stages below it, each as often as it is named.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
+def _is(names: Iterable[str]) -> Column:
+    """Whether a row is of one of these fields."""
+    return F.col("ordinal").isin([ORDINAL[n] for n in names])
+
+
+def judge_rows(rows: DataFrame, fields: Iterable[str], threshold: float = K.FUZZY_THRESHOLD) -> DataFrame:
+    """rows(ordinal, gt_raw, pred_raw[, gt_text], ...) with field, ftype, critical, outcome, format_error, gt_norm, pred_norm, similarity.
+
+    ordinal is a field's place in the registry, one of `fields`; gt_text is the truth's canonical text where it is known
+    already, else it is worked out. Rows are not moved.
+    """
+    names = list(fields)
+    by_kind: dict[str, list[str]] = {}
+    for n in names:
+        by_kind.setdefault(N.kind_of(BY_NAME[n].ftype, n), []).append(n)
+    known = "gt_text" in rows.columns
+    r = rows.withColumns({"__tn": N.is_null_token(F.col("gt_raw")), "__sn": N.is_null_token(F.col("pred_raw"))})
+    sides = {"__seen": F.when(~F.col("__sn"), F.col("pred_raw"))} | ({} if known else {"__truth": F.when(~F.col("__tn"), F.col("gt_raw"))})
+    r = r.withColumns({side: N.fold(c) for side, c in sides.items()})
+    r = N.staged(r, {f"{side}_{k}": N.STEPS[k](F.when(_is(of), F.col(side))) for side in sides for k, of in by_kind.items()})
+
+    def text(side: str) -> Column:
+        return F.coalesce(*[F.col(f"{side}_{k}").cast("string") for k in by_kind])
+
+    bad = F.lit(False)
+    for k in by_kind:
+        bad = bad | ~F.col(f"__seen_{k}_ok")
+    r = r.withColumns({"__s": hold(text("__seen")), "__bad": bad & ~F.col("__sn"), "__t": F.col("gt_text") if known else text("__truth")})
+    zero = [n for n in names if BY_NAME[n].zero_is_null]
+    r = N.staged(r, {"__null": _adjust(_is(zero) if zero else False, F.col("__t"), F.col("__s"), F.col("__tn"), F.col("__sn"))})
+    r = r.withColumn("__same", F.coalesce(F.col("__t") == F.col("__s"), F.lit(False)))
+    fuzzy = [n for n in names if BY_NAME[n].ftype == "fuzzy"]
+    if fuzzy:  # equal texts need no comparison, so Python sees few rows that are not null
+        ship_code(rows.sparkSession)
+        due = _is(fuzzy) & ~F.col("__null") & ~F.col("__null_ok")
+        r = r.withColumn("__u", fuzzy_score(F.when(due & ~F.col("__same"), F.col("__t")), F.when(due & ~F.col("__same"), F.col("__s"))))
+        r = r.withColumn("similarity", F.when(due, F.when(F.col("__same"), 100.0).otherwise(F.col("__u"))))
+        equal = F.when(_is(fuzzy), F.coalesce(F.col("similarity") >= threshold, F.lit(False))).otherwise(F.col("__same"))
+    else:
+        r, equal = r.withColumn("similarity", F.lit(None).cast("double")), F.col("__same")
+
+    def told(values: list) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("ordinal"))
+
+    every = list(BY_NAME.values())
+    r = r.withColumns({
+        "field": told([f.name for f in every]), "ftype": told([f.ftype for f in every]), "critical": told([f.critical for f in every]),
+        "outcome": _outcome(F.col("__null"), F.col("__null_ok"), F.col("__bad"), equal), "format_error": F.col("__bad"),
+        "gt_norm": F.when(~F.col("__null"), F.col("__t")), "pred_norm": F.when(~F.col("__null_ok"), F.col("__s")),
+    })
+    return r.select(*[c for c in r.columns if not c.startswith("__") and c != "gt_text"])
+
 
+def _entry(f: Field, truth: Column, seen: Column, text: Column | None = None, row: Column | None = None) -> Column:
+    parts = [F.lit(ORDINAL[f.name]).alias("ordinal"), truth.alias("gt_raw"), seen.alias("pred_raw")]
+    parts += [] if text is None else [text.alias("gt_text")]
+    parts += [] if row is None else [row.alias("row")]
+    return F.struct(*parts)
 
-def field_results(pairs: DataFrame, keys: Iterable[str], fields: Iterable[str], row: str | None = None) -> DataFrame:
+
+def field_results(pairs: DataFrame, keys: Iterable[str], fields: Iterable[str], row: str | None = None, carry: Iterable[str] = ()) -> DataFrame:
     """One row for each field of each row of `pairs`, which has columns gt_<field> and pred_<field>.
 
-    `row` names a line index column (null: header; -1: a predicted line without a true one).
+    `row` names a line index column (null: header; -1: a predicted line without a true one). Truth that was prepared
+    (gn_<field>) is not normalised again. `carry` names columns that each row keeps besides the keys.
     """
-    keys = list(keys)
-    each = [
-        F.struct(
-            F.lit(f.name).alias("field"), F.lit(f.ftype).alias("ftype"), F.lit(f.critical).alias("critical"),
-            F.col(f"gt_{f.name}").cast("string").alias("gt_raw"), F.col(f"pred_{f.name}").cast("string").alias("pred_raw"),
-            judge(f, F.col(f"gt_{f.name}").cast("string"), F.col(f"pred_{f.name}").cast("string")).alias("j"),
-        )
-        for f in (BY_NAME[n] for n in fields)
-    ]
+    keys, names = [*keys, *carry], list(fields)
+    known = all(f"gn_{n}" in pairs.columns for n in names)
+    each = [_entry(BY_NAME[n], F.col(f"gt_{n}").cast("string"), F.col(f"pred_{n}").cast("string"), F.col(f"gn_{n}") if known else None) for n in names]
     line = F.col(row).cast("int") if row else F.lit(None).cast("int")
-    return pairs.select(*keys, line.alias("row"), F.explode(F.array(*each)).alias("f")).select(
-        *keys, "row", "f.field", "f.ftype", "f.critical", "f.gt_raw", "f.pred_raw", "f.j.*"
+    return judge_rows(pairs.select(*keys, line.alias("row"), F.explode(F.array(*each)).alias("f")).select(*keys, "row", "f.*"), names)
+
+
+def _lines_for_matching(items: Column) -> Column:
+    """Line structs of texts as the normalised values by which lines are matched."""
+
+    def one(x: Column) -> Column:
+        return F.struct(*[
+            N.normalize(BY_NAME[n].ftype, x[n], n)["value"].cast("double" if BY_NAME[n].ftype in NUMBERS else "string").alias(n)
+            for n in ("description", "hsn_sac", "taxable_value", "quantity", "unit_price")
+        ])
+
+    return F.transform(items, one)
+
+
+def score_documents(docs: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """All field rows of whole documents: docs(keys, truth, seen, schema_violation) with records as structs of texts.
+
+    A record has the header fields and line_items, an array of structs of the line fields; fields that a struct lacks are
+    null. An unreadable output (seen is null) is not left out: all its fields are missing. Lines are matched, missing lines
+    are compared with null and spurious ones are row -1; merged and split lines are counted in `structure` alone.
+    Each row carries schema_violation and structure, so that documents need no second pass. Null lines are dropped.
+    """
+    keys = list(keys)
+
+    def record(side: str) -> tuple[set[str], set[str]]:
+        kind = docs.schema[side].dataType
+        lines = kind["line_items"].dataType.elementType.names if "line_items" in kind.names else []
+        return set(kind.names), set(lines)
+
+    (t_head, t_line), (s_head, s_line) = record("truth"), record("seen")
+    empty = "array<struct<" + ",".join(f"{f.name}:string" for f in LINE) + ">>"
+
+    def items(side: str, head: set[str], line: set[str]) -> Column:
+        if "line_items" not in head:
+            return F.array().cast(empty)
+        whole = F.transform(F.filter(F.col(f"{side}.line_items"), lambda x: x.isNotNull()), lambda x: F.struct(*[(x[f.name].cast("string") if f.name in line else F.lit(None).cast("string")).alias(f.name) for f in LINE]))
+        return F.coalesce(whole, F.array().cast(empty))
+
+    ship_code(docs.sparkSession)
+    d = docs.withColumns({"__t": items("truth", t_head, t_line), "__s": items("seen", s_head, s_line)})
+    d = d.withColumn("__m", match_lines(_lines_for_matching(F.col("__t")), _lines_for_matching(F.col("__s"))))
+    structure = F.struct(
+        F.size("__m.merges").alias("merges"), F.size("__m.splits").alias("splits"), F.size("__m.missing").alias("missing_rows"),
+        F.size("__m.spurious").alias("spurious_rows"), F.size("__t").alias("rows_gt"), F.size("__s").alias("rows_pred"),
+    )
+    none = F.lit(None).cast("string")
+
+    def side(name: str, head: set[str], f: Field) -> Column:
+        return F.col(f"{name}.{f.name}").cast("string") if f.name in head else none
+
+    header = F.array(*[_entry(f, side("truth", t_head, f), side("seen", s_head, f), None, F.lit(None).cast("int")) for f in HEADER])
+    absent = F.lit(None).cast("struct<" + ",".join(f"{f.name}:string" for f in LINE) + ">")
+    rows = F.concat(
+        F.transform("__m.pairs", lambda p: F.struct(p["truth"].alias("row"), F.get(F.col("__t"), p["truth"]).alias("t"), F.get(F.col("__s"), p["seen"]).alias("s"))),
+        F.transform("__m.missing", lambda i: F.struct(i.alias("row"), F.get(F.col("__t"), i).alias("t"), absent.alias("s"))),
+        F.transform("__m.spurious", lambda j: F.struct(F.lit(-1).alias("row"), absent.alias("t"), F.get(F.col("__s"), j).alias("s"))),
     )
+    line = F.flatten(F.transform(rows, lambda r: F.array(*[_entry(f, r["t"][f.name], r["s"][f.name], None, r["row"]) for f in LINE])))
+    long = d.select(*keys, "schema_violation", structure.alias("structure"), F.explode(F.concat(header, line)).alias("f")).select(*keys, "schema_violation", "structure", "f.*")
+    return judge_rows(long, BY_NAME)
+
+
+def due(populated_only: bool = True) -> Column:
+    """Fields that accuracy is over: those with a true value, or all."""
+    return F.col("outcome").isin(CORRECT, WRONG, MISSING) if populated_only else F.lit(True)
+
+
+def right(populated_only: bool = True) -> Column:
+    return (F.col("outcome") == CORRECT) if populated_only else F.col("outcome").isin(CORRECT, ABSENT_OK)
 
 
-def accuracy() -> Column:
-    """Correct over correct, wrong and missing; null where nothing is due."""
-    due = F.col("outcome").isin(CORRECT, WRONG, MISSING)
-    return F.try_divide(F.count_if(F.col("outcome") == CORRECT).cast("double"), F.count_if(due).cast("double"))
+def accuracy(group: str | None = None, field: str | None = None, populated_only: bool = True) -> Column:
+    """Correct over due fields, of the header or the line items or one field if asked; null where nothing is due."""
+    of = F.lit(True)
+    if group:
+        of = F.col("row").isNull() if group == "header" else F.col("row").isNotNull()
+    if field:
+        of = of & (F.col("field") == field)
+    return F.try_divide(F.count_if(of & right(populated_only)).cast("double"), F.count_if(of & due(populated_only)).cast("double"))
 
 
 def share_exact() -> Column:
@@ -81,10 +246,35 @@ def hallucination_rate() -> Column:
     return F.try_divide(made.cast("double"), (made + F.count_if(F.col("outcome") == MISSING)).cast("double"))
 
 
+def structural(s: Column) -> Column:
+    return s["merges"] + s["splits"] + s["missing_rows"] + s["spurious_rows"]
+
+
 def document_results(results: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """For each document: whether all its fields, and all its critical fields, are right."""
-    right = F.col("outcome").isin(CORRECT, ABSENT_OK)
-    return results.groupBy(*keys).agg(F.every(right).alias("exact"), F.every(right | ~F.col("critical")).alias("critical_exact"), F.count("*").alias("n_fields"))
+    """One row a document: exact and critical_exact, the number of fields and of each outcome.
+
+    A document is exact if all its (critical) fields are right, its output was no violation and its lines match one to
+    one; the latter two are judged where the results carry them (`score_documents`) and are given beside.
+    """
+    ok = F.col("outcome").isin(CORRECT, ABSENT_OK)
+    whole = [c for c in ("schema_violation", "structure") if c in results.columns]
+    counts = [F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in OUTCOMES]
+    d = results.groupBy(*keys).agg(F.every(ok).alias("exact"), F.every(ok | ~F.col("critical")).alias("critical_exact"), F.count("*").alias("n_fields"), *counts, *[F.first(c).alias(c) for c in whole])
+    clean = F.lit(True)
+    if "schema_violation" in whole:
+        clean = clean & F.col("schema_violation").isNull()
+    if "structure" in whole:
+        clean = clean & (structural(F.col("structure")) == 0)
+    return d.withColumns({"exact": F.col("exact") & clean, "critical_exact": F.col("critical_exact") & clean}) if whole else d
+
+
+def rates_by(docs: DataFrame, by: Iterable[str]) -> DataFrame:
+    """accuracy, hallucination and exact of groups of documents, from the counts of document_results."""
+    c, w, m, s = (F.sum(f"n_{o}") for o in (CORRECT, WRONG, MISSING, SPURIOUS))
+    return docs.groupBy(*by).agg(
+        F.try_divide(c.cast("double"), (c + w + m).cast("double")).alias("accuracy"), F.try_divide((w + s).cast("double"), (w + s + m).cast("double")).alias("hallucination"),
+        share_exact().alias("exact"), F.avg(F.col("critical_exact").cast("double")).alias("critical_exact"), F.count("*").alias("n"),
+    )
 
 
 def field_table(results: DataFrame, keys: Iterable[str] = ()) -> DataFrame:

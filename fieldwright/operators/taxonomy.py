@@ -3,47 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwright.functions.similarity import char_misread
+from fieldwright.operators import score as S
 
 CATEGORIES = (
     "refusal", "schema_violation", "truncated_output", "line_item_merge", "line_item_split", "field_confusion",
     "character_misread", "format_error", "omission", "fabricated_on_null", "wrong_value",
 )
-NUMBERS = ("money", "quantity", "percent")
 
 
-def _family(ftype: Column) -> Column:
-    """Values are compared within a family of types: a zero amount is not the same as 'no'."""
-    return F.when(ftype.isin(*NUMBERS), "number").when(ftype == "bool", "bool").otherwise("text")
+def with_truths(results: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Results that lack `truths` get them: the true header values of their document, in field order."""
+    keys = list(keys)
+    kind = F.when(F.col("ftype").isin(*S.NUMBERS), "number").when(F.col("ftype") == "bool", "bool").otherwise("text")
+    own = F.struct("ordinal", "field", kind.alias("family"), F.col("gt_norm").alias("value"))
+    each = results.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("row").isNull() & F.col("gt_norm").isNotNull(), own))).alias("truths"))
+    matched = [results[k].eqNullSafe(each[k]) for k in keys]
+    return results.join(each, reduce(and_, matched)).select(results["*"], each["truths"])
 
 
 def findings(results: DataFrame, keys: Iterable[str]) -> DataFrame:
     """One row for each failing field: category, other (the field whose true value it is), needs_review.
 
-    A wrong value that is the truth of another header field of the document is a confusion; the join is on document and
-    value, so it costs what the values cost.
+    A wrong value that is the truth of another header field of its document is a confusion with the first such field in
+    field order. Results that carry `truths` (score.truths) need no join; others are gathered by document first.
     """
     keys = list(keys)
-    failing = results.where(F.col("outcome").isin("wrong", "missing", "spurious"))
-    truth = results.where("row IS NULL AND gt_norm IS NOT NULL").select(*keys, F.col("gt_norm").alias("pred_norm"), _family(F.col("ftype")).alias("family"), F.col("field").alias("o"))
-    seen = failing.where("outcome <> 'missing' AND NOT format_error AND pred_norm IS NOT NULL").select(*keys, "field", "row", "pred_norm", _family(F.col("ftype")).alias("family"))
-    same_row = F.coalesce(F.col("row"), F.lit(-2))
-    confused = seen.join(truth, [*keys, "pred_norm", "family"]).where("field <> o").groupBy(*keys, "field", same_row.alias("_row")).agg(F.min("o").alias("other"))
-    r = failing.withColumn("_row", same_row).join(confused, [*keys, "field", "_row"], "left").drop("_row")
+    r = results if "truths" in results.columns else with_truths(results, keys)
+    failing = r.where(F.col("outcome").isin("wrong", "missing", "spurious"))
+    kind = F.when(F.col("ftype").isin(*S.NUMBERS), "number").when(F.col("ftype") == "bool", "bool").otherwise("text")
+    same = F.filter("truths", lambda x: (x["value"] == F.col("pred_norm")) & (x["field"] != F.col("field")) & (x["family"] == kind))
+    sought = (F.col("outcome") != "missing") & ~F.col("format_error") & F.col("pred_norm").isNotNull()
     misread = char_misread(F.col("gt_norm"), F.col("pred_norm"))
+    found = failing.withColumn("other", S.hold(F.when(sought, F.get(same, F.lit(0))["field"]))).drop("truths")
+    found = found.withColumn("known_glyph", F.when((F.col("outcome") == "wrong") & ~F.col("format_error") & F.col("other").isNull(), misread))
     category = (
         F.when(F.col("outcome") == "missing", "omission")
         .when((F.col("outcome") == "wrong") & F.col("format_error"), "format_error")
         .when(F.col("other").isNotNull(), "field_confusion")
         .when(F.col("outcome") == "spurious", "fabricated_on_null")
-        .when(misread.isNotNull(), "character_misread")
+        .when(F.col("known_glyph").isNotNull(), "character_misread")
         .otherwise("wrong_value")
     )
-    out = r.withColumns({"category": category, "known_glyph": misread})
+    out = found.withColumn("category", category)
     return out.withColumn("needs_review", F.col("category") == "wrong_value")
 
 

@@ -57,42 +57,56 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _shown(field: str, c, h):
-    """How a right value looks in a prediction."""
+def _forms(field: str, c):
+    """How a right value looks in predictions: two or three forms."""
     if field == "invoice_date":
         d = F.to_date(c)
-        return F.when(h % 3 == 0, F.date_format(d, "dd/MM/yyyy")).when(h % 3 == 1, F.date_format(d, "dd-MMM-yyyy")).otherwise(c)
+        return [F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "dd-MMM-yyyy"), c]
     if field == "place_of_supply":
         names = F.expr("map(" + ", ".join(f"'{k}', '{K.STATE_CODES[k]}'" for k in STATES) + ")")
-        return F.when(h % 2 == 0, F.concat(c, F.lit("-"), F.try_element_at(names, c))).otherwise(F.upper(F.try_element_at(names, c)))
+        return [F.concat(c, F.lit("-"), F.try_element_at(names, c)), F.upper(F.try_element_at(names, c))]
     if field == "invoice_number":
-        return F.when(h % 2 == 0, F.concat(F.lit(" "), c, F.lit(" "))).otherwise(c)
-    return F.when((h % 3 == 0) & ~c.startswith("-"), F.concat(F.lit("Rs. "), c)).when(h % 3 == 1, F.format_number(c.cast("decimal(18,2)"), 2)).otherwise(c)
+        return [F.concat(F.lit(" "), c, F.lit(" ")), c]
+    return [F.when(c.startswith("-"), c).otherwise(F.concat(F.lit("Rs. "), c)), F.format_number(c.cast("decimal(18,2)"), 2), c]
+
+
+def shown(field: str, c, h):
+    """One of the forms of a right value, by a number."""
+    forms = F.array(*_forms(field, c))
+    return F.get(forms, (h % F.size(forms)).cast("int"))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Truth and what two models saw of it at four levels: columns model, level, gt_<field>, pred_<field>."""
+    """Truth and what two models saw of it at four levels, a row a field: what score.judge_rows takes.
+
+    All that depends on the document alone is worked out before it meets the models and levels. The documents are dealt by
+    their id, so that a document's results meet without another shuffle.
+    """
     grid = [F.struct(F.lit(m).alias("model"), F.lit(mk).alias("mk"), F.lit(n).alias("level"), F.lit(ln).alias("ln"), F.lit(w).alias("m")) for m, mk in MODELS for n, ln, w in LEVELS]
-    t = truth(spark, sf).withColumn("g", F.explode(F.array(*grid))).select("*", "g.*").drop("g")
-    out = {}
-    for f, no in FIELDS.items():
-        gt, m = F.col(f"gt_{f}"), F.col("m")
-        h = (F.col("doc_id") * 31 + F.col("ln") * 7 + no * 101 + F.col("mk") * 17) % 1000
-        out[f"pred_{f}"] = (
-            F.when(h < 3 * m, F.lit(None).cast("string"))
-            .when((h < 6 * m) & gt.isNotNull(), F.concat(gt, F.lit("9")))
-            .when((h < 8 * m) & gt.isNull(), "450.00")
-            .when((h < 9 * m) & gt.isNull(), "0.00")
-            .otherwise(_shown(f, gt, h))
-        )
-    return t.withColumns(out)
+    t = truth(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    t = S.prepare_truth(t, FIELDS).withColumn("truths", S.truths(FIELDS))
+    each = [F.struct(F.lit(S.ORDINAL[f]).alias("ordinal"), F.lit(no).alias("no"), F.col(f"gt_{f}").alias("gt_raw"), F.col(f"gn_{f}").alias("gt_text"), F.array(*_forms(f, F.col(f"gt_{f}"))).alias("shown")) for f, no in FIELDS.items()]
+    t = t.select("doc_id", "template_id", "truths", F.explode(F.array(*each)).alias("f")).select("doc_id", "template_id", "truths", "f.*")
+    t = t.select("*", F.explode(F.array(*grid)).alias("g")).select("*", "g.*").drop("g")
+    t = t.withColumn("h", ((F.col("doc_id") * 31 + F.col("ln") * 7 + F.col("no") * 101 + F.col("mk") * 17) % 1000).cast("int"))
+    gt, h, m = F.col("gt_raw"), F.col("h"), F.col("m")
+    pred = (
+        F.when(h < 3 * m, F.lit(None).cast("string"))
+        .when((h < 6 * m) & gt.isNotNull(), F.concat(gt, F.lit("9")))
+        .when((h < 8 * m) & gt.isNull(), "450.00")
+        .when((h < 9 * m) & gt.isNull(), "0.00")
+        .otherwise(F.get("shown", h % F.size("shown")))
+    )
+    return t.withColumn("pred_raw", pred).drop("h", "no", "ln", "mk", "m", "shown")
 
 
 KEYS = ("model", "level", "doc_id", "template_id")
 
 
-def results(spark: SparkSession, sf: str) -> DataFrame:
-    return S.field_results(predictions(spark, sf), KEYS, FIELDS)
+def results(spark: SparkSession, sf: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """All field results; `carry` may name `truths`, all true values of the document."""
+    rows = predictions(spark, sf).select(*KEYS, *carry, F.lit(None).cast("int").alias("row"), "ordinal", "gt_raw", "gt_text", "pred_raw")
+    return S.judge_rows(rows, FIELDS)
 
 
 # The same views in DuckDB's SQL.
@@ -111,7 +125,7 @@ truth0 AS (SELECT doc_id, 't' || lpad(CAST(doc_id % 12 AS VARCHAR), 2, '0') AS t
   CAST(taxable AS DECIMAL(18,2)) AS taxable, CAST(half AS DECIMAL(18,2)) AS half, CAST(taxable + 2 * half AS DECIMAL(18,2)) AS exact_total,
   CAST(round(taxable + 2 * half, 0) AS DECIMAL(18,2)) AS grand
   FROM sums JOIN orders ON doc_id = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON sums.supplier = s_suppkey),
-truth AS (SELECT doc_id, template_id, buyer, seller, buyer_nation, CAST(doc_id AS VARCHAR) AS gt_invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS gt_invoice_date,
+truth AS MATERIALIZED (SELECT doc_id, template_id, buyer, seller, buyer_nation, CAST(doc_id AS VARCHAR) AS gt_invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS gt_invoice_date,
   [{_CODES}][buyer_nation + 1] AS gt_place_of_supply, CAST(taxable AS VARCHAR) AS gt_total_taxable_value,
   CASE WHEN doc_id % 5 >= 2 THEN CAST(half AS VARCHAR) END AS gt_cgst_amount, CASE WHEN doc_id % 5 < 2 THEN CAST(CAST(half * 2 AS DECIMAL(18,2)) AS VARCHAR) END AS gt_igst_amount,
   CAST(CAST(grand - exact_total AS DECIMAL(18,2)) AS VARCHAR) AS gt_round_off, CAST(grand AS VARCHAR) AS gt_grand_total FROM truth0)"""
@@ -129,7 +143,7 @@ def _shown_sql(f: str) -> str:
 
 
 def _field_sql(f: str, no: int) -> str:
-    return f"""SELECT model, level, doc_id, template_id, '{f}' AS field, gt, CASE WHEN h < 3 * m THEN NULL WHEN h < 6 * m AND gt IS NOT NULL THEN gt || '9'
+    return f"""SELECT model, level, doc_id, template_id, {S.ORDINAL[f]} AS ordinal, '{f}' AS field, gt, CASE WHEN h < 3 * m THEN NULL WHEN h < 6 * m AND gt IS NOT NULL THEN gt || '9'
   WHEN h < 8 * m AND gt IS NULL THEN '450.00' WHEN h < 9 * m AND gt IS NULL THEN '0.00' ELSE {_shown_sql(f)} END AS pred
   FROM (SELECT model, level, m, doc_id, template_id, gt_{f} AS gt, (doc_id * 31 + ln * 7 + {no} * 101 + mk * 17) % 1000 AS h FROM truth, grid)"""
 
@@ -147,7 +161,7 @@ norm AS (SELECT *,
 zero AS (SELECT *, gt IS NULL AS gn0, pred IS NULL AS pn0, field IN ('cgst_amount', 'igst_amount', 'round_off') AS z, pred IS NOT NULL AND p IS NULL AS format_error FROM norm),
 zero1 AS (SELECT *, pn0 OR (z AND gn0 AND coalesce(TRY_CAST(p AS DECIMAL(28,2)) = 0, false)) AS pn FROM zero),
 zero2 AS (SELECT *, gn0 OR (z AND pn AND coalesce(TRY_CAST(g AS DECIMAL(28,2)) = 0, false)) AS gn FROM zero1),
-results AS (SELECT model, level, doc_id, template_id, field, field NOT IN ('place_of_supply', 'round_off') AS critical, gt AS gt_raw, pred AS pred_raw, format_error,
+results AS MATERIALIZED (SELECT model, level, doc_id, template_id, ordinal, field, field NOT IN ('place_of_supply', 'round_off') AS critical, gt AS gt_raw, pred AS pred_raw, format_error,
   CASE WHEN gn AND pn THEN 'absent_ok' WHEN gn THEN 'spurious' WHEN pn THEN 'missing' WHEN format_error THEN 'wrong' WHEN g = p THEN 'correct' ELSE 'wrong' END AS outcome,
   CASE WHEN NOT gn THEN g END AS gt_norm, CASE WHEN NOT pn THEN p END AS pred_norm FROM zero2)"""
 

@@ -25,9 +25,8 @@ def six(c, name):
 
 @query("headline", I.sql(f"SELECT a.model, a.level, accuracy, hallucination, exact FROM (SELECT model, level, round({ACC}, 6) AS accuracy, round({HAL}, 6) AS hallucination FROM results GROUP BY ALL) a JOIN (SELECT model, level, round(avg(CAST(exact AS INT)), 6) AS exact FROM docs GROUP BY ALL) b ON a.model = b.model AND a.level = b.level", I.RESULTS_SQL + ", " + DOCS))
 def headline(spark, sf):
-    r = I.results(spark, sf)
-    docs = S.document_results(r, I.KEYS).groupBy("model", "level").agg(six(S.share_exact(), "exact"))
-    return r.groupBy("model", "level").agg(six(S.accuracy(), "accuracy"), six(S.hallucination_rate(), "hallucination")).join(docs, ["model", "level"])
+    docs = S.document_results(I.results(spark, sf), I.KEYS)
+    return S.rates_by(docs, ["model", "level"]).select("model", "level", *[six(F.col(c), c) for c in ("accuracy", "hallucination", "exact")])
 
 
 @query("field_outcome", I.sql("SELECT model, level, doc_id, field, outcome, format_error FROM results"))
@@ -53,9 +52,9 @@ def accuracy_overall(spark, sf):
     return I.results(spark, sf).groupBy("model").agg(six(S.accuracy(), "accuracy"))
 
 
-@query("accuracy_header", I.sql(f"SELECT model, round({ACC}, 6) AS accuracy FROM results WHERE field NOT LIKE '%amount' GROUP BY ALL"))
+@query("accuracy_header", I.sql(f"SELECT model, round({ACC}, 6) AS accuracy FROM results GROUP BY ALL"))
 def accuracy_header(spark, sf):
-    return I.results(spark, sf).where(~F.col("field").like("%amount")).where("row IS NULL").groupBy("model").agg(six(S.accuracy(), "accuracy"))
+    return I.results(spark, sf).groupBy("model").agg(six(S.accuracy("header"), "accuracy"))
 
 
 @query("accuracy_by_field", I.sql(f"SELECT model, level, field, round({ACC}, 6) AS accuracy FROM results GROUP BY ALL"))
@@ -116,7 +115,7 @@ def mcnemar_test(spark, sf):
     return C.mcnemar(mcnemar_counts(spark, sf))
 
 
-@query("holm", "WITH p AS (SELECT event_type AS comparison, (user_id % 97 + 1) / 1000.0 AS p FROM events WHERE event_id % 500 = 0), r AS (SELECT *, row_number() OVER (ORDER BY p, comparison) AS i, count(*) OVER () AS m FROM (SELECT comparison, CAST(min(p) AS DOUBLE) AS p FROM p GROUP BY ALL)) SELECT comparison, p, p <= 0.05 / (m - i + 1) AND bool_and(p <= 0.05 / (m - i + 1)) OVER (ORDER BY i) AS rejected FROM r")
+@query("holm", "WITH p AS (SELECT event_type AS comparison, (user_id % 97 + 1) / 1000.0 AS p FROM events), r AS (SELECT *, row_number() OVER (ORDER BY p, comparison) AS i, count(*) OVER () AS m FROM (SELECT comparison, CAST(min(p) AS DOUBLE) AS p FROM p GROUP BY ALL)) SELECT comparison, p, p <= 0.05 / (m - i + 1) AND bool_and(p <= 0.05 / (m - i + 1)) OVER (ORDER BY i) AS rejected FROM r")
 def holm(spark, sf):
     e = I.table(spark, sf, "events")
     p = e.groupBy(F.col("event_type").alias("comparison")).agg(F.min((F.col("user_id") % 97 + 1) / 1000.0).alias("p"))
@@ -125,7 +124,7 @@ def holm(spark, sf):
 
 @query("cluster_bootstrap")
 def cluster_bootstrap(spark, sf):
-    return C.bootstrap(C.ratio_by_cluster(I.results(spark, sf), ["model", "level"], "template_id"), ["model", "level"], draws=1000)
+    return C.bootstrap(C.ratio_by_cluster(I.results(spark, sf), ["model", "level"], "template_id"), ["model", "level"])
 
 
 @query("mdd", "SELECT model, n, round((1.959963984540054 + 0.8416212335729143) * sqrt(2 * 0.5 * 0.5 / (n / 1.0)), 6) AS mdd FROM (SELECT o_orderstatus AS model, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL)")
@@ -135,7 +134,7 @@ def mdd(spark, sf):
 
 
 _MISREAD = """CASE WHEN length(gt_norm) > 0 AND length(pred_norm) > 0 AND abs(length(gt_norm) - length(pred_norm)) <= 1 AND levenshtein(gt_norm, pred_norm) BETWEEN 1 AND 2 THEN true END"""
-FINDINGS = f"""other AS (SELECT r.model, r.level, r.doc_id, r.field, min(o.field) AS other FROM results r JOIN results o ON r.model = o.model AND r.level = o.level AND r.doc_id = o.doc_id AND r.field <> o.field AND r.pred_norm = o.gt_norm
+FINDINGS = f"""other AS (SELECT r.model, r.level, r.doc_id, r.field, arg_min(o.field, o.ordinal) AS other FROM results r JOIN results o ON r.model = o.model AND r.level = o.level AND r.doc_id = o.doc_id AND r.field <> o.field AND r.pred_norm = o.gt_norm
   AND ((r.field IN ('invoice_number', 'invoice_date', 'place_of_supply')) = (o.field IN ('invoice_number', 'invoice_date', 'place_of_supply'))) WHERE r.outcome IN ('wrong', 'spurious') AND NOT r.format_error GROUP BY ALL),
 findings AS (SELECT r.model, r.level, r.doc_id, r.template_id, r.field, other.other, CASE r.outcome WHEN 'missing' THEN 'omission'
   WHEN 'spurious' THEN CASE WHEN other.other IS NOT NULL THEN 'field_confusion' ELSE 'fabricated_on_null' END
@@ -143,24 +142,28 @@ findings AS (SELECT r.model, r.level, r.doc_id, r.template_id, r.field, other.ot
   FROM results r LEFT JOIN other USING (model, level, doc_id, field) WHERE r.outcome IN ('wrong', 'missing', 'spurious'))"""
 
 
+def _findings(spark, sf):
+    return X.findings(I.results(spark, sf, ("truths",)), I.KEYS)
+
+
 @query("taxonomy_findings", I.sql("SELECT model, level, doc_id, field, category FROM findings", I.RESULTS_SQL + ", " + FINDINGS))
 def taxonomy_findings(spark, sf):
-    return X.findings(I.results(spark, sf), I.KEYS).select("model", "level", "doc_id", "field", "category")
+    return _findings(spark, sf).select("model", "level", "doc_id", "field", "category")
 
 
 @query("field_confusion", I.sql("SELECT model, level, doc_id, field, other FROM findings WHERE category = 'field_confusion'", I.RESULTS_SQL + ", " + FINDINGS))
 def field_confusion(spark, sf):
-    return X.findings(I.results(spark, sf), I.KEYS).where("category = 'field_confusion'").select("model", "level", "doc_id", "field", "other")
+    return _findings(spark, sf).where("category = 'field_confusion'").select("model", "level", "doc_id", "field", "other")
 
 
 @query("taxonomy_distribution", I.sql("SELECT model, " + ", ".join(f"CAST(sum(CASE WHEN category = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {c}" for c in X.CATEGORIES) + " FROM findings GROUP BY ALL", I.RESULTS_SQL + ", " + FINDINGS))
 def taxonomy_distribution(spark, sf):
-    return X.distribution(X.findings(I.results(spark, sf), I.KEYS))
+    return X.distribution(_findings(spark, sf))
 
 
 @query("stratified_topk", I.sql("SELECT model, level, doc_id, field FROM (SELECT *, row_number() OVER (PARTITION BY model, level ORDER BY md5(concat(doc_id, '|', field, '|0')), doc_id, field) AS k FROM findings) WHERE k <= 15", I.RESULTS_SQL + ", " + FINDINGS))
 def stratified_topk(spark, sf):
-    f = X.findings(I.results(spark, sf), I.KEYS)
+    f = _findings(spark, sf)
     return X.stratified_sample(f, ["model", "level"], 15, ["doc_id", "field"]).select("model", "level", "doc_id", "field")
 
 
@@ -173,7 +176,7 @@ def repeat_variance(spark, sf):
 
 
 def _triage(spark, sf):
-    r = X.findings(I.results(spark, sf), I.KEYS).where("needs_review AND ftype = 'money'")
+    r = _findings(spark, sf).where("needs_review AND ftype = 'money'")
     t = I.truth(spark, sf)
     names = ("total_taxable_value", "cgst_amount", "igst_amount", "grand_total", "round_off")
     amounts = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"gt_{n}").cast("double").alias("value")) for n in names])
