@@ -45,64 +45,115 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share_percent: in
     return t.select("source_key", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
+def _queued(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], share_percent: int, times: int, seed: int) -> DataFrame:
+    """(row, id, source_key, size, source_size, target, place, start): each document in its source's shuffled queue.
+
+    `row` is the row of `docs` as one struct, so none of its names can clash; start is the words before it in its queue.
+    """
+    n = X.reducers(docs)
+    ident, source, text = F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")
+    name = F.coalesce(ident.cast("string"), F.concat(F.lit("null"), F.xxhash64(text).cast("string")))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("source_key"),
+        word_count(text).alias("size"), F.md5(F.concat_ws("|", name, F.lit(str(seed)))).alias("place"),
+    )
+    # parts of a queue: consecutive stretches of places, as many as there are reducers
+    rows = rows.withColumn("part", F.floor(F.conv(F.substring("place", 1, 12), 16, 10).cast("double") / float(16**12) * n).cast("long"))
+    parts = X.keep(rows.groupBy("source_key", "part").agg(F.first("source").alias("source"), F.sum("size").alias("size")), "mix-parts")
+    targets = source_targets(parts, weights, share_percent, times)
+    before = F.sum("size").over(Window.partitionBy("source_key").orderBy("part")) - F.col("size")
+    known = parts.select("source_key", "part", before.alias("before")).join(targets, "source_key")
+    queue = Window.partitionBy("source_key", "part").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("upto", F.sum("size").over(queue)).join(known, ["source_key", "part"])
+    return placed.select("row", "id", "source_key", "size", "source_size", "target", "place", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
+
+
+#: The order of packets: by virtual finish time, ties by source and place in the queue.
+_ORDER = ("finish", "source_key", "end")
+
+
+def _packets(times: int) -> Column:
+    """A document's packets in all passes of its queue: its words, cut in two where time 1 falls among them.
+
+    A packet's virtual finish time is the words of its source up to its end over the source's target. Packets without
+    words, and those of sources with target 0, aren't sent.
+    """
+    whole = F.floor("target").cast("long")
+    each = []
+    for k in range(times):
+        lo = F.col("start") + k * F.col("source_size")
+        hi = lo + F.col("size")
+        cut = F.least(F.greatest(whole, lo), hi)
+        each += [F.struct(F.lit(k).alias("pass"), cut.alias("end"), (cut - lo).alias("words")), F.struct(F.lit(k).alias("pass"), hi.alias("end"), (hi - cut).alias("words"))]
+    return F.filter(F.array(*each), lambda p: (p["words"] > 0) & (F.col("target") > 0))
+
+
+def _cut(queued: DataFrame, times: int) -> DataFrame:
+    """One row: the last packet that the budget pays for (finish, source_key, end) and how many of its words it pays.
+
+    All packets are range-sorted by virtual finish time; a running total, first over the ranges and then within the one
+    where the budget ends, finds the place. Null where the budget pays for everything.
+    """
+    n = X.reducers(queued)
+    budget = queued.groupBy("source_key").agg(F.floor(F.first("target")).cast("long").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("budget"))
+    sent = queued.select("source_key", "target", F.explode(_packets(times)).alias("p")).select((F.col("p.end") / F.col("target")).alias("finish"), "source_key", F.col("p.end").alias("end"), F.col("p.words").alias("words"))
+    sorted_ = X.keep(sent.repartitionByRange(n, *_ORDER).withColumn("range", F.spark_partition_id()), "mix-packets")
+    sums = sorted_.groupBy("range").agg(F.sum("words").alias("words"))
+    upto = F.sum("words").over(Window.orderBy("range"))  # one row a range
+    ends = sums.withColumn("before", upto - F.col("words")).join(budget).where("budget > before AND budget <= before + words").select("range", "before", "budget")
+    inside = sorted_.join(ends, "range").withColumn("at", F.col("before") + F.sum("words").over(Window.partitionBy("range").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)))
+    last = inside.where("at >= budget AND at - words < budget")
+    return last.agg(F.min(F.struct(*_ORDER)).alias("last"), F.min(F.col("budget") - F.col("at") + F.col("words")).alias("paid"))
+
+
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], share_percent: int, times: int, seed: int) -> DataFrame:
+    """(row, size, source_size, target, taken, passes, finish) for each row of `docs`."""
+    queued = X.keep(_queued(docs, id_col, source_col, text_col, weights, share_percent, times, seed), "mix-queued")
+    judged = queued.join(F.broadcast(_cut(queued, times)))  # one row
+
+    def paid(p: Column) -> Column:
+        key = F.struct((p["end"] / F.col("target")).alias("finish"), F.col("source_key"), p["end"].alias("end"))
+        return F.when(F.col("last").isNull() | (key < F.col("last")), p["words"]).when(key == F.col("last"), F.col("paid")).otherwise(F.lit(0))
+
+    got = F.transform(_packets(times), lambda p: F.struct(p["pass"].alias("pass"), paid(p).cast("long").alias("words")))
+    judged = judged.withColumn("got", F.filter(got, lambda p: p["words"] > 0))
+    taken = F.aggregate("got", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    passes = F.size(F.array_distinct(F.transform("got", lambda p: p["pass"])))
+    finish = F.try_divide((F.col("start") + F.col("size")).cast("double"), F.col("target"))
+    return judged.select("row", "size", "source_size", "target", taken.alias("taken"), passes.alias("passes"), finish.alias("finish"))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, times: int = 2, seed: int = 0,
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
-    Documents of a source queue in the order of a hash of id and seed. A document's virtual finish time is the words of
-    its source up to its end, divided by the source's target; a queue is gone through up to `times` times. The mix is the
-    documents by virtual finish time (the rows come range-sorted by it), cut at the total budget, which all sources reach
-    at time 1: there a document is cut, so that each source gives its target's whole words.
+    Documents of a source queue in the order of a hash of id and seed; a queue is gone through up to `times` times. A
+    document's virtual finish time is the words of its source up to its end, divided by the source's target. All documents
+    are range-sorted by it, and the mix is their running total up to the budget, which is all sources' targets: sources
+    reach theirs at time 1, where the document in service is cut in two, so each source gives its target's whole words.
 
     Returns all columns of `docs` and mix_size, mix_source_size, mix_target, mix_taken (repeats counted), mix_passes (the
-    times that any of its words are taken) and mix_finish (virtual finish time; null where the target is 0).
+    times that any of its words are taken) and mix_finish (its first virtual finish time; null where the target is 0).
 
     Null texts have size 0 and give nothing; a null source is a source of its own, last in order; rows with equal or null
     ids are documents of their own, tied documents following each other by size; an empty table gives no rows. Columns of
-    `docs` whose names begin with mix_ are replaced. Running sums go over parts of each queue, then over the parts' sums,
-    so no source meets in one task.
+    `docs` with these six names are replaced. Running sums go over parts of each queue, then over the parts' sums, so no
+    source meets in one task; lists as long as the sources, and as the ranges, do.
     """
-    n = X.reducers(docs)
-    digits = 2 if n <= 256 else 3 if n <= 4096 else 4
-    ident, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
-    rows = docs.withColumns(
-        {
-            "mix_id": ident,
-            "mix_source": source,
-            "mix_source_key": F.coalesce(F.concat(F.lit("="), source), F.lit("null")),
-            "mix_size": word_count(F.col(f"`{text_col}`")),
-            "mix_place": F.md5(F.concat_ws("|", F.coalesce(ident.cast("string"), F.lit("null")), F.lit(str(seed)))),
-        }
-    ).withColumn("mix_part", F.substring("mix_place", 1, digits))
-    parts = X.keep(rows.groupBy("mix_source_key", "mix_part").agg(F.first("mix_source").alias("source"), F.sum("mix_size").alias("size")), "mix-parts")
-    targets = source_targets(parts.withColumnRenamed("mix_source_key", "source_key"), weights, share_percent, times)
-    before = F.sum("size").over(Window.partitionBy("mix_source_key").orderBy("mix_part")) - F.col("size")
-    parts = parts.select("mix_source_key", "mix_part", before.alias("mix_before"))
-    known = parts.join(targets.select(F.col("source_key").alias("mix_source_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), "mix_source_key")
-    queue = Window.partitionBy("mix_source_key", "mix_part").orderBy("mix_place", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("mix_upto", F.sum("mix_size").over(queue)).join(known, ["mix_source_key", "mix_part"])
-    start = F.col("mix_before") + F.col("mix_upto") - F.col("mix_size")
-    whole = F.floor("mix_target").cast("long")
-    each = [F.greatest(F.lit(0), F.least(F.col("mix_size"), whole - start - k * F.col("mix_source_size"))).cast("long") for k in range(times)]
-    out = placed.withColumns(
-        {
-            "mix_taken": sum(each[1:], each[0]),
-            "mix_passes": sum([F.when(x > 0, 1).otherwise(0) for x in each[1:]], F.when(each[0] > 0, 1).otherwise(0)),
-            "mix_finish": F.try_divide((start + F.col("mix_size")).cast("double"), F.col("mix_target")),
-        }
-    )
-    own = [c for c in docs.columns if not c.startswith("mix_")]
-    out = out.select(*[F.col(f"`{c}`") for c in own], "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_passes", "mix_finish")
-    return out.repartitionByRange(n, "mix_finish", F.col(f"`{id_col}`")).sortWithinPartitions("mix_finish", F.col(f"`{id_col}`"))
+    names = {c: f"mix_{c}" for c in ("size", "source_size", "target", "taken", "passes", "finish")}
+    out = _mixed(docs, id_col, source_col, text_col, weights, share_percent, times, seed)
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names.values()], *[F.col(c).alias(m) for c, m in names.items()])
 
 
-def mixed_documents(docs: DataFrame, times: int = 2, **how) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, times: int = 2, seed: int = 0,
+) -> DataFrame:
     """The mix itself: each document as often as the mix takes any of its words, whole each time, with the columns of `docs`."""
-    mixed = mix_sources(docs, times=times, **how).where("mix_passes > 0")
-    again = mixed.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("mix_passes"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _mixed(docs, id_col, source_col, text_col, weights, share_percent, times, seed).where("passes > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
