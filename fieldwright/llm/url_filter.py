@@ -8,8 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Above this many rules the index is joined as a table; up to it, it is part of the plan.
+#: Up to this many rules the index fits into the plan, as a map from token to rules; a longer one is joined as a table.
 PLAN_RULES = 2_000
+#: Join keys over which the urls of one token are spread, where the index is a table.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,8 @@ def filter_urls(pages: DataFrame, url_col: str = "url", site_rules=SITE_RULES, p
 
     Null and empty urls and urls without '://' have empty host and path and get the default verdict; repeated rows each
     get their result; an empty table gives no rows. Columns of `pages` with these four names are replaced; other names
-    can't clash. The rule list is in the plan up to PLAN_RULES rules; longer lists are joined to the distinct urls.
+    can't clash. The index is a map in the plan up to PLAN_RULES rules, and each token of a url looks its rules up there;
+    an index that doesn't fit is joined to the tokens of the distinct urls, with the same result.
     """
     rules = (*site_rules, *pattern_rules)
     host, path = url_parts(F.col(f"`{url_col}`"))
@@ -104,11 +107,15 @@ def filter_urls(pages: DataFrame, url_col: str = "url", site_rules=SITE_RULES, p
     for r in rules:
         if r.tokens:
             index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
-    fetched = [F.when(F.array_contains(tokens, t), _structs(index[t])).otherwise(F.array().cast(_TYPE)) for t in sorted(index)]
-    candidates = F.concat(_structs(always) if always else F.array().cast(_TYPE), *fetched)
+    candidates = _structs(always) if always else F.array().cast(_TYPE)
+    if index:
+        by_token = F.create_map(*[x for t in sorted(index) for x in (F.lit(t), _structs(index[t]))])
+        fetched = F.filter(F.transform(tokens, lambda t: F.try_element_at(by_token, t)), lambda r: r.isNotNull())
+        candidates = F.concat(candidates, F.flatten(fetched))
     return _judged(rows.withColumn("url_verdict", candidates), F.col("url_verdict"), default)
 
 
+_ADDED = ("url_host", "url_path", "url_rule", "url_verdict")
 _TYPE = "array<struct<length:int,name:string,verdict:string,host_re:string,path_re:string>>"
 
 
@@ -130,13 +137,16 @@ def _joined(rows: DataFrame, rules, words: list[str], default: str) -> DataFrame
     best = listed.join(counts, "token", "left").groupBy("id").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
     index = best.join(table.drop("tokens"), "id").select("token", F.struct("length", "name", "verdict", "host_re", "path_re").alias("rule"))
     always = [r for r in rules if not r.tokens]
-    fits = tokens.join(index, "token").where(F.rlike(F.col("url_host"), F.col("rule.host_re")) & F.rlike(F.col("url_path"), F.col("rule.path_re")))
+    # a token of very many urls is SALTS keys
+    tokens = tokens.withColumn("salt", F.pmod(F.xxhash64("url_host", "url_path"), F.lit(SALTS)).cast("int"))
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fits = tokens.join(index, ["token", "salt"]).where(F.rlike(F.col("url_host"), F.col("rule.host_re")) & F.rlike(F.col("url_path"), F.col("rule.path_re")))
     found = fits.groupBy("url_host", "url_path").agg(F.collect_set("rule").alias("url_fits"))
     out = rows.join(found, ["url_host", "url_path"], "left")
     candidates = F.coalesce(F.col("url_fits"), F.array().cast(_TYPE))
     if always:
         candidates = F.concat(candidates, _structs(always))
-    return _judged(out, candidates, default).drop("url_fits")
+    return _judged(out, candidates, default).select(*[F.col(f"`{c}`") for c in rows.columns if c not in _ADDED], *_ADDED)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
