@@ -16,13 +16,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwright.llm import exchange as X
 
-#: Captures in one archive file, at most.
+#: Payload bytes of one archive file, about; captures in it, at most.
+FILE_BYTES = 64 << 20
 FILE_CAPTURES = 20_000
+#: Join keys over which the rows of one digest are spread.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
@@ -46,18 +49,26 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     Of rows with equal payloads of at least least_bytes bytes, the one with the smallest id is the response (all rows
     that tie on id and payload are), the others are revisits without payload. Null payloads are empty; line breaks in
-    urls are removed from the headers; rows whose ids are null are responses if no row with that payload has an id, else revisits.
+    urls are removed from the headers; rows whose ids are null are responses if no row with that payload has an id, else
+    revisits. Record ids are hashes of id, url, payload and the number of such a row, so a rerun gives the same. Files hold
+    about FILE_BYTES of payload by its mean length.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.regexp_replace(F.col(f"`{url_col}`"), r"[\r\n]", "").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    first = rows.select("id", "digest").groupBy("digest").agg(F.min("id").alias("least"))
-    rows = rows.join(first, "digest").withColumn("capture", F.monotonically_increasing_id())
-    fresh = F.col("id").eqNullSafe(F.col("least")) | (F.octet_length("payload") < least_bytes)
-    rows = rows.withColumn("fresh", fresh)
+    # rows alike in id, url and payload have one key; which of equal payloads is first is told from keys alone
+    rows = rows.withColumn("key", F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("-")), F.coalesce(F.concat(F.lit("="), "url"), F.lit("-")), F.col("digest"))))
+    narrow = X.keep(rows.select("id", "digest", "key", F.octet_length("payload").alias("bytes")), "warc-keys")
+    first = narrow.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    salted = first.select("digest", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = narrow.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    alone = F.col("least").isNull() | F.col("id").eqNullSafe(F.col("least")) | (F.col("bytes") < least_bytes)
+    later = own.where(~alone).select("key").distinct().withColumn("later", F.lit(True))
+    rows = rows.join(later, "key", "left").withColumn("fresh", F.col("later").isNull())
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("digest")))
 
     def uuid(kind: str) -> Column:
-        h = F.md5(F.concat_ws("|", F.lit(kind), F.col("capture").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("digest")))
+        h = F.md5(F.concat_ws("|", F.lit(kind), F.col("key"), F.col("copy").cast("string")))
         return F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
     root = uuid("response")
@@ -74,7 +85,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     meta = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit(CRLF)), F.lit("")), F.lit(f"via: crawl{CRLF}"))
     metadata = _record("metadata", uuid("metadata"), [("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", near), ("Content-Type", F.lit("application/warc-fields"))], meta)
     text = F.concat(request, F.lit(CRLF), F.when(F.col("fresh"), response).otherwise(revisit), F.lit(CRLF), metadata)
-    rows.select(text.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+    mean = narrow.agg(F.avg("bytes")).first()[0] or 0
+    most = max(1, min(FILE_CAPTURES, int(FILE_BYTES / (mean + 1))))
+    rows.select(text.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 RECORD_DDL = "type string, record_id string, concurrent_to string, uri string, digest string, payload_bytes long, payload binary, fields map<string,string>"
@@ -92,18 +105,21 @@ def _inflated(data, step: int = 1 << 20) -> Iterator[bytes]:
             yield bytes(view[lo : lo + step])
         return
     z, at = zlib.decompressobj(31), 0
-    rest = b""
+    rest, begun = b"", False
     while at < len(view) or rest:
         if not rest:
             rest = bytes(view[at : at + step])
             at += len(rest)
+        begun = begun or bool(rest)
         out = z.decompress(rest, 4 * step)
         rest = z.unconsumed_tail
         if out:
             yield out
         if z.eof:
             rest = z.unused_data + rest
-            z = zlib.decompressobj(31)
+            z, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("archive ends within a compressed member")
 
 
 class _Reader:
