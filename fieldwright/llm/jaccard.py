@@ -28,6 +28,8 @@ WORDS = 5
 PERCENT = 75
 #: Rows of a block and columns that are multiplied at once.
 BLOCK_ROWS = 1500
+#: Join keys over which the members of one class of equal sets are spread.
+SALTS = 16
 BLOCK_COLUMNS = 4096
 _H48 = np.uint64((1 << 48) - 1)
 
@@ -290,10 +292,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with all its columns: that of least id (where ids repeat or are null, of least id and text hash)."""
     out, unique = _rooted(docs, id_col, text_col, words, percent)
-    stay = out.where("doc = root").select(F.col("doc").alias("_stays")).distinct()
+    stay = out.where("doc = root").select(F.col("doc").alias("key")).distinct()
     key = _key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"), unique)
-    kept = docs.withColumn("_key", key).join(stay.hint("merge"), F.col("_key") == F.col("_stays"), "left_semi")
-    return (kept if unique else kept.dropDuplicates(["_key"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # one column, so no name of `docs` can clash
+    kept = docs.select(key.alias("key"), whole.alias("row")).join(stay.hint("merge"), "key", "left_semi")
+    return (kept if unique else kept.dropDuplicates(["key"])).select("row.*")
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, bool]:
@@ -315,7 +318,11 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     sets = X.arrow(texts.join(rest.hint("merge"), "doc").select("doc", "text"), _sets(words), "doc long, n long, s1 long, s2 long, grams array<long>")
     sets = X.keep(sets if unique else sets.dropDuplicates(["doc"]), "shingle-sets")
     classes = sets.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
-    members = X.keep(sets.select("doc", "s1", "s2").join(classes, ["s1", "s2"]).select("doc", "rep", "copies"), "members")
+    # one very large class is one key: its members are spread over SALTS keys, each with a copy of the class
+    salted = classes.where("copies > 1").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = sets.select("doc", "s1", "s2", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = own.join(salted.hint("merge"), ["s1", "s2", "salt"], "left")
+    members = X.keep(members.select("doc", F.coalesce("rep", "doc").alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")), "members")
     reps = X.keep(sets.join(members.where("doc = rep").select("doc", "copies").hint("merge"), "doc").select("doc", "n", "copies", "grams"), "rows")
 
     entries = reps.select("doc", "n", F.explode("grams").alias("g"))
