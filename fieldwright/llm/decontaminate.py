@@ -24,8 +24,6 @@ MASKS = ("110110111", "101101111", "111010011")
 #: An overlap has at least WINDOW words (the whole item, if that is shorter), PERCENT of which agree at their places.
 WINDOW = 13
 PERCENT = 80
-#: Items of fewer words than this are in texts by chance and don't count.
-LEAST_WORDS = 5
 #: Bytes of benchmark text that are sent to the workers at once; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 20
@@ -74,7 +72,7 @@ class Index:
         self.at, self.size = own[:-1], np.diff(own)
         self.tables = []
         item = np.repeat(np.arange(len(items)), self.size)
-        due = np.where(self.size >= LEAST_WORDS, np.minimum(self.size, window), 0)  # words of an overlap
+        due = np.minimum(self.size, window)  # words of an overlap
         uses: dict[str, list[int]] = {}
         for n in np.unique(due[due > 0]).tolist():
             for mask in seeds(n, n + -percent * n // 100, masks):
@@ -206,8 +204,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are compared with A-Z lower-cased. A document is contaminated if one of its overlaps with an item is verified:
     at least WINDOW words of the item in a row (all of a shorter one) of which PERCENT agree at their places.
 
-    Null and empty texts and items have no overlaps; items of fewer than LEAST_WORDS words are left out; equal items each
-    count; repeated rows each get their row; null ids stay null (null item ids are -1). Other columns are ignored.
+    Null and empty texts and items have no overlaps; an item of any number of words counts, if PERCENT of it agree (all of
+    one to four words); equal items each count; repeated rows each get their row; null ids stay null (null item ids are
+    -1). Other columns are ignored, whatever their names.
     """
     found = find_overlaps(docs, benchmark, id_col, text_col, **how)
     if len(found) > 1:

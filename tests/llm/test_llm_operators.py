@@ -188,8 +188,8 @@ def test_decontaminate(spark, none):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.decontaminate(docs, bench).collect()
     assert len(got) == len(rows)
-    assert sorted((r["doc_id"], r["items"]) for r in got if r["contaminated"]) == [(50, [0]), (51, [1]), (55, [9])]
-    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()) == sorted(i for i, t in rows if not (i in (50, 51) or (i == 55 and "alpha" in t)))
+    assert sorted((r["doc_id"], r["items"]) for r in got if r["contaminated"]) == [(50, [0]), (51, [1]), (55, [8]), (55, [9])]
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()) == sorted(i for i, t in rows if i not in (50, 51, 55))
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.where("item_id > 99")).collect())
 
