@@ -270,10 +270,10 @@ def held_out(ident: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most `most` (language, text) pairs for each language, those of least id hash among texts of 1 to `chars` characters."""
+    """At most `most` (language, text) pairs for each language, those of least id hash; of a longer text, its first `chars` characters."""
     ident = F.col(f"`{id_col}`")
-    rows = docs.where(~held_out(ident)).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(ident.cast("string"), F.lit(7)).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & F.length("text").between(1, chars))
+    rows = docs.where(~held_out(ident)).select(F.col(f"`{lang_col}`").alias("lang"), F.substring(F.col(f"`{text_col}`"), 1, chars).alias("text"), F.xxhash64(ident.cast("string"), F.lit(7)).alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.col("text") != ""))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
