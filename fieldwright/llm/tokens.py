@@ -115,7 +115,11 @@ class _Store:
                 self.clear()
                 return self.look_up(h, spell)
             u, first = np.unique(h[miss], return_index=True)
+            short = bool(self.letters)
             length, ids = self.encode_words([spell(i) for i in miss[first].tolist()])
+            if short and not self.letters:  # the short way failed a trial: nothing that it gave is kept
+                self.clear()
+                return self.look_up(h, spell)
             base = self.n
             self.n += len(u)
             self.hashes, self.at, self.length = (_grown(x, self.n) for x in (self.hashes, self.at, self.length))
