@@ -19,18 +19,24 @@ from pyspark.sql import functions as F
 
 from fieldwright.code import ship_code
 
-#: Input bytes for each reducer, at most (by Spark's estimate of the input's size).
-REDUCER_BYTES = 32 << 20
+#: Input bytes for each reducer, at most (by Spark's estimate of the input's size), however large the input is.
+REDUCER_BYTES = 256 << 20
 #: Spark gives tables of unknown size the largest long.
 _UNKNOWN = 1 << 60
 _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of this process only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Where both are unset, a local folder of this process serves in local mode, as in tests; a cluster raises, as its
+    executors would write to disks of their own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="fieldwright-"))
     return f"file://{_own_folder[0]}"
@@ -44,7 +50,16 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
     """Write the frame as a table in the shared folder and read it back: lineage ends there, and no executor's loss undoes it."""
     path = new_path(frame.sparkSession, name)
     frame.write.option("compression", "zstd").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete the table of a frame that `keep` gave and that nothing reads any more."""
+    spark = frame.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(frame.kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reducers(frame: DataFrame) -> int:
@@ -53,37 +68,33 @@ def reducers(frame: DataFrame) -> int:
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     size = sum(x for x in sizes if x < _UNKNOWN)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, size // REDUCER_BYTES))
-
-
-def _murmur(k: int, seed: int = 42) -> int:
-    """Spark's hash() of an int."""
-    m = 0xFFFFFFFF
-    k = (k * 0xCC9E2D51) & m
-    k = ((k << 15) | (k >> 17)) & m
-    k = (k * 0x1B873593) & m
-    h = seed ^ k
-    h = ((h << 13) | (h >> 19)) & m
-    h = (h * 5 + 0xE6546B64) & m
-    h ^= 4
-    h ^= h >> 16
-    h = (h * 0x85EBCA6B) & m
-    h ^= h >> 13
-    h = (h * 0xC2B2AE35) & m
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // REDUCER_BYTES)
+
+
+def _murmur(k: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash() of each int."""
+
+    def turn(x: np.ndarray, n: int) -> np.ndarray:
+        return (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+
+    k = turn(k.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(seed) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
 
 
 def bucket_keys(n: int) -> np.ndarray:
     """For each of n partitions, an int that Spark's hash partitioning sends there."""
     out = np.full(n, -1, np.int64)
-    left, k = n, 0
-    while left:
-        p = _murmur(k) % n
-        if out[p] < 0:
-            out[p] = k
-            left -= 1
-        k += 1
+    k, step = 0, max(1024, 2 * n)
+    while (out < 0).any():
+        p = _murmur(np.arange(k, k + step)).astype(np.int64) % n
+        part, first = np.unique(p, return_index=True)
+        new = out[part] < 0
+        out[part[new]] = k + first[new]
+        k += step
     return out
 
 
