@@ -45,16 +45,17 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share_percent: in
     return t.select("source_key", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
-def _queued(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], share_percent: int, times: int, seed: int) -> DataFrame:
+def _queued(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], share_percent: int, times: int, seed: int, carry: tuple[str, ...] | None = None) -> DataFrame:
     """(row, id, source_key, size, source_size, target, place, start): each document in its source's shuffled queue.
 
-    `row` is the row of `docs` as one struct, so none of its names can clash; start is the words before it in its queue.
+    `row` are the columns of `docs` that are carried, as one struct, so none of their names can clash; start is the words
+    before it in its queue.
     """
     n = X.reducers(docs)
     ident, source, text = F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")
     name = F.coalesce(ident.cast("string"), F.concat(F.lit("null"), F.xxhash64(text).cast("string")))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("source_key"),
+        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"), ident.alias("id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("source_key"),
         word_count(text).alias("size"), F.md5(F.concat_ws("|", name, F.lit(str(seed)))).alias("place"),
     )
     # parts of a queue: consecutive stretches of places, as many as there are reducers
@@ -106,9 +107,9 @@ def _cut(queued: DataFrame, times: int) -> DataFrame:
     return last.agg(F.min(F.struct(*_ORDER)).alias("last"), F.min(F.col("budget") - F.col("at") + F.col("words")).alias("paid"))
 
 
-def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], share_percent: int, times: int, seed: int) -> DataFrame:
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], share_percent: int, times: int, seed: int, carry: tuple[str, ...] | None = None) -> DataFrame:
     """(row, size, source_size, target, taken, passes, finish) for each row of `docs`."""
-    queued = X.keep(_queued(docs, id_col, source_col, text_col, weights, share_percent, times, seed), "mix-queued")
+    queued = X.keep(_queued(docs, id_col, source_col, text_col, weights, share_percent, times, seed, carry), "mix-queued")
     judged = queued.join(F.broadcast(_cut(queued, times)))  # one row
 
     def paid(p: Column) -> Column:
@@ -125,7 +126,7 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, times: int = 2, seed: int = 0,
+    weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, times: int = 2, seed: int = 0, carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
@@ -134,7 +135,7 @@ def mix_sources(
     are range-sorted by it, and the mix is their running total up to the budget, which is all sources' targets: sources
     reach theirs at time 1, where the document in service is cut in two, so each source gives its target's whole words.
 
-    Returns all columns of `docs` and mix_size, mix_source_size, mix_target, mix_taken (repeats counted), mix_passes (the
+    Returns all columns of `docs` (or those named in `carry`, so that texts needn't move) and mix_size, mix_source_size, mix_target, mix_taken (repeats counted), mix_passes (the
     times that any of its words are taken) and mix_finish (its first virtual finish time; null where the target is 0).
 
     Null texts have size 0 and give nothing; a null source is a source of its own, last in order; rows with equal or null
@@ -143,8 +144,8 @@ def mix_sources(
     source meets in one task; lists as long as the sources, and as the ranges, do.
     """
     names = {c: f"mix_{c}" for c in ("size", "source_size", "target", "taken", "passes", "finish")}
-    out = _mixed(docs, id_col, source_col, text_col, weights, share_percent, times, seed)
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names.values()], *[F.col(c).alias(m) for c, m in names.items()])
+    out = _mixed(docs, id_col, source_col, text_col, weights, share_percent, times, seed, carry)
+    return out.select(*[F.col(f"row.`{c}`") for c in (docs.columns if carry is None else carry) if c not in names.values()], *[F.col(c).alias(m) for c, m in names.items()])
 
 
 def mixed_documents(
@@ -159,7 +160,7 @@ def mixed_documents(
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = ("size", "source_size", "target", "taken")
-    return mix_sources(docs.select("doc_id", "source", "text")).select("doc_id", *[F.col(f"mix_{c}").alias(c) for c in names])
+    return mix_sources(docs, carry=("doc_id",)).select("doc_id", *[F.col(f"mix_{c}").alias(c) for c in names])
 
 
 OP4_SQL = r"""
