@@ -71,3 +71,9 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
 @F.pandas_udf(DoubleType())
 def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((token_set_ratio(x, y) for x, y in zip(a, b, strict=True)), float, len(a)))
+
+
+@F.pandas_udf(DoubleType())
+def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """indel_ratio of two texts; null where one is null."""
+    return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwright.operators import compare as C
 from fieldwright.operators import score as S
 
 
@@ -23,11 +25,36 @@ def degradation_curve(results: DataFrame, levels: list[str]) -> DataFrame:
 
 
 def leaderboard(results: DataFrame, keys: Iterable[str]) -> DataFrame:
-    docs = S.document_results(results, keys).groupBy("model").agg(
-        F.count("*").alias("n"), F.round(S.share_exact(), 6).alias("exact"), F.round(F.avg(F.col("critical_exact").cast("double")), 6).alias("critical_exact")
-    )
-    rates = results.groupBy("model").agg(F.round(S.accuracy(), 6).alias("accuracy"), F.round(S.hallucination_rate(), 6).alias("hallucination"))
-    return rates.join(docs, "model").withColumn("place", F.rank().over(Window.orderBy(F.desc_nulls_last("accuracy"), "model")))
+    """Models by accuracy, with the rates of their documents; structural and violation counts where the results carry them."""
+    docs = S.document_results(results, keys)
+    rates = S.rates_by(docs, ["model"]).select("model", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "hallucination", "exact", "critical_exact")])
+    if "structure" in docs.columns:
+        s = F.col("structure")
+        counted = docs.groupBy("model").agg(F.sum(s["merges"] + s["splits"]).alias("structural_errors"), F.count("schema_violation").alias("schema_violations"))
+        rates = rates.join(counted, "model")
+    return rates.withColumn("place", F.rank().over(Window.orderBy(F.desc_nulls_last("accuracy"), "model")))
+
+
+def leaderboard_intervals(results: DataFrame, keys: Iterable[str], cluster: str = "template_id", draws: int = 2000) -> DataFrame:
+    """Cluster-bootstrap intervals of a model's measures, a row a measure: field, header and line accuracy, exact matches."""
+    docs = S.document_results(results, keys)
+
+    def ratio(rows: DataFrame, name: str, num: Column, den: Column) -> DataFrame:
+        return rows.groupBy("model", F.lit(name).alias("measure"), F.col(cluster).alias("cluster")).agg(F.count_if(num).alias("num"), F.count_if(den).alias("den"))
+
+    header, every = F.col("row").isNull(), F.lit(True)
+    parts = [ratio(results, n, g & S.right(), g & S.due()) for n, g in (("field_accuracy", every), ("header_accuracy", header), ("line_item_accuracy", ~header))]
+    parts += [ratio(docs, n, F.col(n), every) for n in ("exact", "critical_exact")]
+    return C.bootstrap(reduce(DataFrame.unionByName, parts), ["model", "measure"], draws)
+
+
+def pairwise_tests(results: DataFrame, keys: Iterable[str], unit: Iterable[str] = ("level", "doc_id"), cluster: str = "template_id", draws: int = 1000) -> DataFrame:
+    """McNemar's test of each pair of models on exact matches of their common documents, with the interval of the difference."""
+    docs = S.document_results(results, keys)
+    both = C.paired(docs, unit=[*unit, cluster])
+    delta = C.bootstrap(C.paired_delta(both, ["model_a", "model_b"], cluster), ["model_a", "model_b"], draws)
+    tests = C.mcnemar(C.mcnemar_counts(both))
+    return tests.join(delta.select("model_a", "model_b", F.col("point").alias("delta"), "lo", "hi"), ["model_a", "model_b"])
 
 
 def infra_split(calls: DataFrame, error: str = "error") -> DataFrame:

@@ -196,7 +196,8 @@ def score_documents(docs: DataFrame, keys: Iterable[str]) -> DataFrame:
 
     ship_code(docs.sparkSession)
     d = docs.withColumns({"__t": items("truth", t_head, t_line), "__s": items("seen", s_head, s_line)})
-    d = d.withColumn("__m", match_lines(_lines_for_matching(F.col("__t")), _lines_for_matching(F.col("__s"))))
+    d = d.withColumns({"__a": _lines_for_matching(F.col("__t")), "__b": _lines_for_matching(F.col("__s"))})
+    d = d.withColumn("__m", match_lines("__a", "__b")).withColumn("__m", hold(F.col("__m")))
     structure = F.struct(
         F.size("__m.merges").alias("merges"), F.size("__m.splits").alias("splits"), F.size("__m.missing").alias("missing_rows"),
         F.size("__m.spurious").alias("spurious_rows"), F.size("__t").alias("rows_gt"), F.size("__s").alias("rows_pred"),

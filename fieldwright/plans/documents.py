@@ -272,7 +272,17 @@ def consistency_checks(spark, sf):
     return c.select("doc_id", *[F.col(f"checks.{k}").alias(k) for k in ("line_items_sum_to_subtotal", "totals_reconcile", "cgst_equals_sgst", "round_off_plausible", "date_parseable")])
 
 
-@query("consistency_score")
+#: Of the checks those that apply here: both sums, the round-off and the date always; the split tax and the place where local.
+_SCORE = I.sql("""SELECT doc_id, round(passed / CAST(due AS DOUBLE), 6) AS score FROM (
+  SELECT doc_id, CAST(a AS INT) + CAST(b AS INT) + CAST(coalesce(c, false) AS INT) + CAST(coalesce(t, false) AS INT) + CAST(coalesce(l, false) AS INT) + 2 AS passed,
+    4 + CASE WHEN c IS NULL THEN 0 ELSE 1 END + CASE WHEN t IS NULL THEN 0 ELSE 1 END + CASE WHEN l IS NULL THEN 0 ELSE 1 END AS due FROM (
+  SELECT truth.doc_id, NOT truth.doc_id % 7 = 0 OR n * 0.05 >= 5 AS a, abs(5 * CAST(truth.doc_id % 7 = 0 AS INT) + CASE WHEN truth.doc_id % 5 >= 2 AND truth.doc_id % 11 = 0 THEN 1 ELSE 0 END) <= 1 AS b,
+    CASE WHEN truth.doc_id % 5 >= 2 AND CAST(gt_cgst_amount AS DECIMAL(18,2)) + (CASE WHEN truth.doc_id % 11 = 0 THEN 1 ELSE 0 END) <> 0 THEN truth.doc_id % 11 <> 0 END AS c,
+    CAST(NULL AS BOOLEAN) AS t, fine AS l
+  FROM truth JOIN (SELECT doc_id AS k, count(*) AS n, bool_and(abs(quantity * CAST(gross / quantity AS DECIMAL(18,6)) - discount - taxable_value) <= 1) AS fine FROM lines GROUP BY ALL) ON k = truth.doc_id))""", I.TRUTH_SQL)
+
+
+@query("consistency_score", _SCORE)
 def consistency_score(spark, sf):
     c = K.checks(_records(spark, sf))
     return c.select("doc_id", F.round(K.score(F.col("checks")), 6).alias("score"))

@@ -49,6 +49,12 @@ def test_state_bool_fuzzy(spark):
     assert values(spark, normalize.is_null_token, ["N/A", " ", None, "0", "nil"]) == [True, True, True, False, True]
 
 
+def test_compatibility_forms(spark):
+    assert [(str(r["value"]), r["ok"]) for r in values(spark, normalize.money, ["１２３．５０", "₹\u00a0１,０００", "\u3000７"])] == [("123.50", True), ("1000.00", True), ("7.00", True)]
+    assert [r["value"] for r in values(spark, normalize.exact_upper, ["ＡＢ１", "ﬁx"])] == ["AB1", "FIX"]
+    assert values(spark, normalize.clean_text, ["a\u2003 b\u00a0"]) == ["a b"]
+
+
 def test_gstin(spark):
     good = ["27AAPFU0939F1ZV", "29AAGCB7383J1Z4", "24AAACC1206D1ZM", "27aapfu0939f1zv "]
     bad = ["27AAPFU0939F1ZX", "99AAPFU0939F1ZV", "27", None, "12345"]
