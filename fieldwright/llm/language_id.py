@@ -28,7 +28,7 @@ SAMPLE_CHARS = 20_000
 CALIBRATION = 5
 UNKNOWN = "und"
 _START, _END = np.uint64(1), np.uint64(2)
-_STORE_WORDS = 1_500_000
+_STORE_WORDS = 500_000
 _MULT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(ORDER)], np.uint64)
 _letters: list[np.ndarray] = []
 
