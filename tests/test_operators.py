@@ -87,7 +87,7 @@ def test_triage(spark):
     assert one("seller_name", "deshmukh industries", "redbrick industries") == "entity_substitution"
     assert one("seller_name", "alpha beta", "gamma delta") == "AMBIGUOUS-text"
     assert one("seller_name", "maharashtra steel", "mahrashtr stee") == "character_misread"
-    assert one("taxable_value", "a b", "x y", ["line[1].taxable_value", "round_off"]) == "AMBIGUOUS-text"
+    assert one("taxable_value", "alpha beta", "gamma delta", ["line[1].taxable_value", "round_off"]) == "AMBIGUOUS-text"
 
 
 def test_confusion_is_with_the_first_field_in_order(spark):
