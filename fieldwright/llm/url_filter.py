@@ -112,7 +112,7 @@ def filter_urls(pages: DataFrame, url_col: str = "url", site_rules=SITE_RULES, p
         by_token = F.create_map(*[x for t in sorted(index) for x in (F.lit(t), _structs(index[t]))])
         fetched = F.filter(F.transform(tokens, lambda t: F.try_element_at(by_token, t)), lambda r: r.isNotNull())
         candidates = F.concat(candidates, F.flatten(fetched))
-    return _judged(rows.withColumn("url_verdict", candidates), F.col("url_verdict"), default)
+    return _judged(rows.withColumn("url_verdict", candidates), F.col("url_verdict"), default).select(*[F.col(f"`{c}`") for c in rows.columns if c not in _ADDED], *_ADDED)
 
 
 _ADDED = ("url_host", "url_path", "url_rule", "url_verdict")
