@@ -5,8 +5,10 @@
    are its alone already in the sample, it has no partner.
 2. Equal sets become one row of the matrix. Rows that share one of their rarest shingles (the prefix in which any linked
    pair must meet) form families; no linked pair is split between families.
-3. Each family is a block of rows (several, if it is large). A task multiplies two blocks, adding up overlap counts over
-   blocks of columns, and keeps the pairs whose count reaches the bound that their sizes set: 100 c >= p (x + y - c).
+3. Each family is a block of rows. A large one is cut by size into bands, and these into blocks: linked sets have sizes
+   within a ratio of 100 to p, so only blocks of one band or of neighbouring ones meet. A task multiplies two blocks,
+   adding up overlap counts over blocks of columns, and keeps the pairs whose count reaches the bound that their sizes
+   set: 100 c >= p (x + y - c).
    Out of a task come links of a spanning forest and each row's number of links, not all pairs.
 """
 
@@ -267,6 +269,11 @@ def _product(percent: int):
     return run
 
 
+def _band_width(percent: int) -> float:
+    """The width of a band in logarithms of sizes: a little over what linked sets can differ by, whatever is lost in rounding."""
+    return max(float(np.log(100 / percent)), 0.01) * 1.0001
+
+
 def _key(ident: Column, text: Column, unique: bool) -> Column:
     return ident if unique else F.xxhash64(ident, text)
 
@@ -334,11 +341,17 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     links = ranked.where("place <= prefix").select(F.col("doc").alias("a"), F.col("m").alias("b"))
     families = components(links).withColumnRenamed("a", "doc").withColumnRenamed("root", "family")
 
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    sized = families.join(reps.select("doc", "n"), "doc").withColumn("band", F.floor(F.ln("n") / F.lit(_band_width(percent))))
+    bands = sized.groupBy("family", "band").count()
+    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / F.lit(BLOCK_ROWS)).alias("blocks"))))
+    large = bands.groupBy("family").agg(F.sum("count").alias("rows"), blocks.alias("of")).where(F.col("rows") > BLOCK_ROWS).drop("rows")
+    # blocks are (band, number in it), as one long; a family of one block is block 0
+    near = [f"if(map_contains_key(of, band + {k}), transform(sequence(0L, of[band + {k}] - 1), x -> (band + {k}) * 4294967296L + x), array())" for k in (-1, 0, 1)]
     tasks = (
-        families.join(sizes, "family")
-        .withColumn("block", F.expr("CAST(pmod(xxhash64(doc), blocks) AS int)"))
-        .select("doc", "family", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) AS i, greatest(x, block) AS j))")).alias("t"))
+        sized.join(large, "family", "left")
+        .withColumn("block", F.expr("if(of IS NULL, 0L, band * 4294967296L + pmod(xxhash64(doc), of[band]))"))
+        .withColumn("with", F.expr(f"if(of IS NULL, array(0L), concat({', '.join(near)}))"))
+        .select("doc", "family", "block", F.explode(F.expr("transform(with, x -> struct(least(x, block) AS i, greatest(x, block) AS j))")).alias("t"))
         .select("doc", "family", "block", "t.i", "t.j")
     )
     rows_of = tasks.join(reps.hint("merge"), "doc").select("family", "i", "j", "block", "doc", "copies", "grams")
