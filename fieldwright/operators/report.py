@@ -82,6 +82,53 @@ def repeat_variance(runs: DataFrame, unit: list[str], value: str, score: Column,
     return groups.groupBy(by).agg(F.count("*").alias("groups"), F.count_if(F.col("kinds") > 1).alias("disagreeing"), F.max("spread").alias("most"), F.round(F.avg("spread"), 6).alias("mean"))
 
 
+def repeat_fields(results: DataFrame, unit: list[str], run: str, by: list[str], failed: Column | None = None) -> DataFrame:
+    """How far repeated runs on one input agree: header fields with different values, and the spread of a document's accuracy.
+
+    n_repeated counts units of several runs; the other measures leave failed runs out, and units with fewer than two
+    runs then. A null value is a value; units where nothing was due have no spread.
+    """
+    seen = F.when(F.col("row").isNull(), F.struct("field", "pred_norm"))  # collect_set leaves out the null of other rows
+    lost = F.lit(False) if failed is None else failed
+    runs = results.groupBy(*unit, run).agg(S.accuracy().alias("score"), F.collect_set(seen).alias("seen"), F.bool_or(lost).alias("lost"))
+    good = lambda c: F.when(~F.col("lost"), c)
+    units = runs.groupBy(*unit).agg(
+        F.count("*").alias("runs"), F.count_if(~F.col("lost")).alias("used"), (F.max(good(F.col("score"))) - F.min(good(F.col("score")))).alias("spread"),
+        F.array_distinct(F.flatten(F.collect_list(good(F.col("seen"))))).alias("seen"),
+    ).where("runs > 1")
+    names = F.transform("seen", lambda x: x["field"])
+    counted = units.withColumn("names", names).withColumn("fields", F.array_distinct("names"))
+    differ = F.size(F.filter("fields", lambda f: F.size(F.filter("names", lambda x: x == f)) > 1))
+    use = lambda c: F.when(F.col("used") > 1, c)
+    return counted.groupBy(*by).agg(
+        F.count("*").alias("n_repeated"), F.round(F.try_divide(F.sum(use(differ)).cast("double"), F.sum(use(F.size("fields"))).cast("double")), 6).alias("field_disagreement"),
+        F.round(F.avg(use(F.col("spread"))), 6).alias("mean_spread"), F.round(F.max(use(F.col("spread"))), 6).alias("most_spread"),
+    )
+
+
+def curve_points(results: DataFrame, levels: list[str]) -> DataFrame:
+    """Points of the degradation chart: (line: models by accuracy at the first level, model, x, level, accuracy). No rows without these levels."""
+    points = results.where(F.col("level").isin(levels)).groupBy("model", "level").agg(F.round(S.accuracy(), 6).alias("accuracy"))
+    x = F.array_position(F.array(*map(F.lit, levels)), F.col("level")).cast("int") - 1
+    first = F.coalesce(F.max(F.when(F.col("level") == levels[0], F.col("accuracy"))).over(Window.partitionBy("model")), F.lit(0.0))
+    placed = points.withColumn("x", x).withColumn("first", first)
+    return placed.select(F.dense_rank().over(Window.orderBy(F.desc("first"), "model")).alias("line"), "model", "x", "level", "accuracy")
+
+
+def error_shares(results: DataFrame) -> DataFrame:
+    """Segments of the error chart: each kind's share of a model's errors, from left to right, 0 where a model made none."""
+    kinds = (S.MISSING, S.WRONG, S.SPURIOUS)
+    counts = error_mix(results)
+    total = F.greatest(F.col(S.MISSING) + F.col(S.WRONG) + F.col(S.SPURIOUS), F.lit(1)).cast("double")
+    segments = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("kind"), F.round(F.col(k) / total, 6).alias("share")) for i, k in enumerate(kinds)])
+    return counts.select("model", F.inline(segments))
+
+
+def cost_points(costs: DataFrame, accuracies: DataFrame, key: str = "model") -> DataFrame:
+    """Points of the cost chart, cheapest first; a model without either value has no point."""
+    return costs.join(accuracies, key).select(key, "per_1000", "accuracy").where("per_1000 IS NOT NULL AND accuracy IS NOT NULL").orderBy("per_1000", key)
+
+
 def to_markdown(table: DataFrame, columns: list[str], most: int = 1000) -> str:
     """A small table as Markdown; more than `most` rows is an error, not a cut."""
     rows = table.select(*columns).limit(most + 1).collect()

@@ -281,3 +281,10 @@ def rates_by(docs: DataFrame, by: Iterable[str]) -> DataFrame:
 def field_table(results: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Field by outcome counts, with format errors."""
     return results.groupBy(*keys, "field").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES], F.count_if("format_error").alias("format_errors"))
+
+
+def with_calls(docs: DataFrame, calls: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Scored documents with finish_reason and refusal of their call: null and false where there is none, the greatest of several."""
+    keys = list(keys)
+    call = calls.groupBy(*keys).agg(F.max("finish_reason").alias("finish_reason"), F.bool_or("refusal").alias("refusal"))
+    return docs.join(call, keys, "left").withColumn("refusal", F.coalesce("refusal", F.lit(False)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,35 @@ def tasks(documents: DataFrame, levels: list[str] | None = None) -> DataFrame:
     return out.select(F.concat("doc_id", F.lit("__"), "level").alias("variant_id"), "doc_id", "template_id", "level", "ground_truth", "variant.files")
 
 
+def first_tasks(wanted: DataFrame, most: int, order: list[str]) -> DataFrame:
+    """The first tasks in a stated order."""
+    return wanted.orderBy(*order).limit(most)
+
+
+def write_manifest(documents: DataFrame, path: str, corpus_version: str, key: str = "doc_id") -> str:
+    """Write documents in order of `key` as one manifest file of the driver and return its digest.
+
+    The digest is that of the file without the digest's own field, which is the last one. Documents pass through the
+    driver one after another, never all at once.
+    """
+    digest, n = hashlib.sha256(), 0
+    with open(path, "w", encoding="utf-8") as out:
+
+        def put(text: str) -> None:
+            out.write(text)
+            digest.update(text.encode())
+
+        put('{"corpus_version": ' + json.dumps(corpus_version) + ', "documents": [')
+        for row in documents.orderBy(key).select(F.to_json(F.struct("*")).alias("d")).toLocalIterator():
+            put((",\n" if n else "\n") + row["d"])
+            n += 1
+        put(f'\n], "n_documents": {n}')
+        whole = digest.copy()
+        whole.update(b"}")
+        out.write(', "manifest_sha256": "' + whole.hexdigest() + '"}')
+    return whole.hexdigest()
+
+
 def to_do(wanted: DataFrame, done: DataFrame, key: list[str], error: str = "error") -> DataFrame:
     """Wanted rows without a result that succeeded: failed ones run again."""
     good = done.where(F.coalesce(F.col(error), F.lit("")) == "")
@@ -53,6 +85,11 @@ def verify_digests(expected: DataFrame, found: DataFrame, key: str) -> DataFrame
     return expected.join(found, key, "left").select(key, status.alias("status"))
 
 
+def first_problems(verified: DataFrame, key: str, most: int = 50) -> DataFrame:
+    """The first files, in order of `key`, that are missing or differ: a report of `most` rows."""
+    return verified.where("status <> 'ok'").orderBy(key).limit(most)
+
+
 def cheapest(prices: DataFrame, price: str, most: float, k: int, tie: str) -> DataFrame:
     """The k cheapest offers up to a price."""
     return prices.where(F.col(price).between(0, most)).orderBy(price, tie).limit(k)
