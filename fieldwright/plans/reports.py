@@ -22,16 +22,18 @@ def _card(spark, sf):
     p, k = I.table(spark, sf, "part"), F.col("p_partkey")
     price = F.when(k % 7 == 0, "free").when(k % 11 == 0, "-1").otherwise((F.col("p_retailprice") / 1e9).cast("string"))
     pricing = F.when(k % 13 == 0, F.create_map(F.lit("completion"), price)).when(k % 17 != 0, F.create_map(F.lit("prompt"), price, F.lit("completion"), price))
-    words = F.split(F.lower(F.replace("p_type", F.lit("STEEL"), F.lit("IMAGE"))), " ")
+    # "image-like" is no image in a list of inputs, but a modality's text that has it names one
+    kind = F.when(F.col("p_type") == "PROMO", "image").when(F.col("p_type") == "ECONOMY", "image-like").otherwise(F.lower("p_type"))
+    words = F.array(F.lit("text"), kind)
     listed = F.when(k % 2 == 0, words)
     architecture = F.struct(listed.alias("input_modalities"), F.when(k % 3 != 0, F.concat_ws("+", words)).alias("modality"))
     return P.rates(p.select(F.col("p_partkey").cast("string").alias("id"), pricing.alias("pricing"), architecture.alias("architecture"), F.col("p_size").cast("long").alias("context_length")))
 
 
-_CARD = """c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS BIGINT) AS context, p_partkey AS k, p_type LIKE '%STEEL%' AS steel, list_contains(string_split(p_type, ' '), 'STEEL') AS word,
+_CARD = """c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS BIGINT) AS context, p_partkey AS k, p_type IN ('PROMO', 'ECONOMY') AS named, p_type = 'PROMO' AS listed,
   CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN -1.0 ELSE round(p_retailprice / 1e9 * 1e6, 6) END AS price FROM part),
 card AS (SELECT id, CASE WHEN k % 13 = 0 OR k % 17 = 0 THEN 0.0 ELSE price END AS input_per_mtok, CASE WHEN k % 17 = 0 AND k % 13 <> 0 THEN 0.0 ELSE price END AS output_per_mtok,
-  CASE WHEN k % 2 = 0 THEN word ELSE steel AND k % 3 <> 0 END AS vision, context FROM c)"""
+  CASE WHEN k % 2 = 0 THEN listed ELSE named AND k % 3 <> 0 END AS vision, context FROM c)"""
 
 
 @query("rate_card", f"WITH {_CARD} SELECT * FROM card WHERE input_per_mtok >= 0 AND output_per_mtok >= 0")
@@ -39,9 +41,9 @@ def rate_card(spark, sf):
     return _card(spark, sf)
 
 
-@query("vision_models", f"WITH {_CARD} SELECT id, input_per_mtok FROM card WHERE input_per_mtok >= 0 AND output_per_mtok >= 0 AND vision AND input_per_mtok <= 1.2")
+@query("vision_models", f"WITH {_CARD} SELECT id, input_per_mtok FROM card WHERE input_per_mtok >= 0 AND output_per_mtok >= 0 AND vision AND input_per_mtok <= 0.95")
 def vision_models(spark, sf):
-    return P.vision_models(_card(spark, sf), 1.2).select("id", "input_per_mtok")
+    return P.vision_models(_card(spark, sf), 0.95).select("id", "input_per_mtok")
 
 
 @query("curve_points", I.sql(f"""SELECT CAST(dense_rank() OVER (ORDER BY first DESC, model) AS INT) AS line, model, x, level, accuracy FROM (
