@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldwright.llm import decontaminate, jaccard, language_id, mixing, mpeg_audio, substring_dedup, suffix_dedup, tokens, url_filter, warc
+from fieldwright.llm import decontaminate, jaccard, language_id, mixing, mpeg_audio, packing, substring_dedup, suffix_dedup, tokens, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": tokens.op8_token_files,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_language_id": language_id.op10_language_id,
+    "op13_best_fit_packing": packing.op13_best_fit_packing,
 }
 
 SQL = {
