@@ -20,6 +20,9 @@ _rng = np.random.Generator(np.random.PCG64(20240517))
 BYTE_TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWER_TABLE = BYTE_TABLE.copy()
 LOWER_TABLE[65:91] = BYTE_TABLE[97:123]
+#: Bytes between terms: ASCII that is neither a digit nor a letter.
+IS_GAP = np.ones(256, bool)
+IS_GAP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 #: White space that separates words: space and 0x09-0x0D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -76,11 +79,12 @@ def numbers(column: pa.Array, missing: int = -1) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(missing).to_numpy(zero_copy_only=False)
 
 
-def word_table(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False):
+def word_table(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, between: np.ndarray | None = None):
     """Words of each row: their first byte, end, 64-bit hash, and each row's first word (one more entry than rows).
 
-    Words are maximal runs of bytes other than 0x20 and 0x09-0x0D and never cross rows.
+    Words are maximal runs of bytes other than those `between` marks (0x20 and 0x09-0x0D) and never cross rows.
     """
+    between = IS_SPACE if between is None else between
     table = LOWER_TABLE if lower else BYTE_TABLE
     edge = np.zeros(len(buf) + 1, bool)
     edge[starts] = True
@@ -90,18 +94,18 @@ def word_table(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     while lo < n:
         hi = min(n, lo + PIECE)
         if hi < n:  # end the piece where a word ends
-            back = np.flatnonzero(IS_SPACE[buf[max(lo, hi - 4096) : hi]] | edge[max(lo, hi - 4096) + 1 : hi + 1])
+            back = np.flatnonzero(between[buf[max(lo, hi - 4096) : hi]] | edge[max(lo, hi - 4096) + 1 : hi + 1])
             if len(back):
                 hi = max(lo, hi - 4096) + int(back[-1]) + 1
             else:
-                while hi < n and not (IS_SPACE[buf[hi - 1]] or edge[hi]):
+                while hi < n and not (between[buf[hi - 1]] or edge[hi]):
                     hi = min(n, hi + 4096)
-                    cut = np.flatnonzero(IS_SPACE[buf[hi - 4096 : hi]] | edge[hi - 4095 : hi + 1])
+                    cut = np.flatnonzero(between[buf[hi - 4096 : hi]] | edge[hi - 4095 : hi + 1])
                     if len(cut):
                         hi = hi - 4096 + int(cut[0]) + 1
                         break
         piece = buf[lo:hi]
-        solid = ~IS_SPACE[piece]
+        solid = ~between[piece]
         first = solid.copy()
         first[1:] &= ~solid[:-1] | edge[lo + 1 : hi]
         last = solid.copy()
