@@ -62,13 +62,13 @@ def discard(frame: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def reducers(frame: DataFrame) -> int:
-    """The session's shuffle partitions, or more where the tables read are large. Tables of unknown size don't count."""
+def reducers(frame: DataFrame, each: int = REDUCER_BYTES) -> int:
+    """The session's shuffle partitions, or one for `each` bytes where the tables read are large. Tables of unknown size don't count."""
     spark = frame.sparkSession
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     size = sum(x for x in sizes if x < _UNKNOWN)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // REDUCER_BYTES)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // each)
 
 
 def _murmur(k: np.ndarray, seed: int = 42) -> np.ndarray:
