@@ -33,6 +33,9 @@ REFUSAL_MARKERS = (
 )
 FUZZY_THRESHOLD = 88
 TAX_SLABS = (5, 12, 18, 28)
+# Amounts among which a wrong number is sought, in order: of the header, of each line.
+HEADER_AMOUNTS = ("total_taxable_value", "cgst_amount", "sgst_amount", "igst_amount", "cess_amount", "grand_total", "round_off")
+LINE_AMOUNTS = ("taxable_value", "quantity", "unit_price", "tax_rate", "discount")
 # Patterns by which the rules baseline reads text.
 GSTIN_PATTERN = r"\b\d{2}[A-Z]{5}\d{4}[A-Z][0-9A-Z][Z][0-9A-Z]\b"
 DATE_PATTERN = r"\b(\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,2}[-\s][A-Za-z]{3,9}[-\s]\d{2,4}|\d{4}-\d{2}-\d{2})\b"

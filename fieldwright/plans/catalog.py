@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fieldwright.plans import documents, labels, reports, scoring
+from fieldwright.plans import documents, labels, reports, review, scoring
 from fieldwright.plans.registry import QUERIES, SQL
 
-_MODULES = (documents, labels, reports, scoring)
+_MODULES = (documents, labels, reports, review, scoring)
 
 
 def queries() -> dict:
