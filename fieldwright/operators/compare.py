@@ -22,10 +22,17 @@ def pairs(models: DataFrame) -> DataFrame:
     return m.select(F.col("model").alias("model_a")).join(m.select(F.col("model").alias("model_b")), F.col("model_a") < F.col("model_b"))
 
 
-def paired(docs: DataFrame, flag: str = "exact", unit: Iterable[str] = ("level", "doc_id")) -> DataFrame:
-    """Documents that two models both have, with both flags: one aggregation by document, whose models are few."""
+def paired(docs: DataFrame, flag: str = "exact", unit: Iterable[str] = ("level", "doc_id"), order: Iterable[str] = ()) -> DataFrame:
+    """Units that two models both have, with both flags: one aggregation by unit, whose models and runs are few.
+
+    Of several runs of a model on one unit the last by `order` counts, among equals the one with the greatest flag (null
+    is least); so each pair of models has a unit once. Null units are a unit; a null model pairs with none.
+    """
     unit = list(unit)
-    m = docs.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("model", F.col(flag).alias("flag")))).alias("m"))
+    run = F.struct("model", F.struct(*[F.col(c) for c in order], F.lit(0).alias("none")).alias("at"), F.col(flag).alias("flag"))
+    runs = docs.where(F.col("model").isNotNull()).groupBy(*unit).agg(F.array_sort(F.collect_list(run)).alias("m"))
+    last = F.filter("m", lambda a, i: F.coalesce(F.get("m", i + 1)["model"] != a["model"], F.lit(True)))
+    m = runs.withColumn("m", F.transform(last, lambda a: F.struct(a["model"].alias("model"), a["flag"].alias("flag"))))
     both = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["model"] > a["model"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return m.select(*unit, F.explode(both).alias("p")).select(
         *unit, F.col("p.a.model").alias("model_a"), F.col("p.b.model").alias("model_b"), F.col("p.a.flag").alias(f"{flag}_a"), F.col("p.b.flag").alias(f"{flag}_b")

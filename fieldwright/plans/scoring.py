@@ -95,11 +95,19 @@ def leaderboard_points(spark, sf):
     return R.leaderboard(I.results(spark, sf), I.KEYS)
 
 
-@query("paired_self_join", I.sql("SELECT a.level, a.doc_id, a.model AS model_a, b.model AS model_b, a.exact AS exact_a, b.exact AS exact_b FROM docs a JOIN docs b ON a.doc_id = b.doc_id AND a.level = b.level AND a.model < b.model", I.RESULTS_SQL + ", " + DOCS))
+@query("paired_self_join", I.sql("SELECT level, doc_id, min(model) AS model_a, max(model) AS model_b, arg_min(exact, model) AS exact_a, arg_max(exact, model) AS exact_b FROM docs GROUP BY level, doc_id HAVING count(DISTINCT model) = 2", I.RESULTS_SQL + ", " + DOCS))
 def paired_self_join(spark, sf):
     return C.paired(S.document_results(I.results(spark, sf), I.KEYS))
 
 
+@query("paired_last_runs", """WITH e AS MATERIALIZED (SELECT user_id, event_type AS model, arg_max(value > 50, event_id) AS flag FROM events GROUP BY ALL)
+  SELECT a.user_id, a.model AS model_a, b.model AS model_b, a.flag AS good_a, b.flag AS good_b FROM e a JOIN e b ON a.user_id = b.user_id AND a.model < b.model""")
+def paired_last_runs(spark, sf):
+    """A user's events of one type are runs of one model on one unit: the last one counts."""
+    e = I.table(spark, sf, "events").select("user_id", F.col("event_type").alias("model"), "event_id", (F.col("value") > 50).alias("good"))
+    return C.paired(e, "good", ["user_id"], ["event_id"])
+
+
 @query("model_pairs", "SELECT a.e AS model_a, b.e AS model_b FROM (SELECT DISTINCT event_type AS e FROM events) a JOIN (SELECT DISTINCT event_type AS e FROM events) b ON a.e < b.e")
 def model_pairs(spark, sf):
     return C.pairs(I.table(spark, sf, "events").select(F.col("event_type").alias("model")))
@@ -135,9 +143,9 @@ def mdd(spark, sf):
 
 
 _MISREAD = """CASE WHEN length(gt_norm) > 0 AND length(pred_norm) > 0 AND abs(length(gt_norm) - length(pred_norm)) <= 1 AND levenshtein(gt_norm, pred_norm) BETWEEN 1 AND 2 THEN true END"""
-FINDINGS = f"""other AS (SELECT r.model, r.level, r.doc_id, r.field, arg_min(o.field, o.ordinal) AS other FROM results r JOIN results o ON r.model = o.model AND r.level = o.level AND r.doc_id = o.doc_id AND r.field <> o.field AND r.pred_norm = o.gt_norm
+FINDINGS = f"""other AS MATERIALIZED (SELECT r.model, r.level, r.doc_id, r.field, arg_min(o.field, o.ordinal) AS other FROM results r JOIN results o ON r.model = o.model AND r.level = o.level AND r.doc_id = o.doc_id AND r.field <> o.field AND r.pred_norm = o.gt_norm
   AND ((r.field IN ('invoice_number', 'invoice_date', 'place_of_supply')) = (o.field IN ('invoice_number', 'invoice_date', 'place_of_supply'))) WHERE r.outcome IN ('wrong', 'spurious') AND NOT r.format_error GROUP BY ALL),
-findings AS (SELECT r.model, r.level, r.doc_id, r.template_id, r.field, other.other, CASE r.outcome WHEN 'missing' THEN 'omission'
+findings AS MATERIALIZED (SELECT r.model, r.level, r.doc_id, r.template_id, r.field, other.other, CASE r.outcome WHEN 'missing' THEN 'omission'
   WHEN 'spurious' THEN CASE WHEN other.other IS NOT NULL THEN 'field_confusion' ELSE 'fabricated_on_null' END
   ELSE CASE WHEN r.format_error THEN 'format_error' WHEN other.other IS NOT NULL THEN 'field_confusion' WHEN {_MISREAD} THEN 'character_misread' ELSE 'wrong_value' END END AS category
   FROM results r LEFT JOIN other USING (model, level, doc_id, field) WHERE r.outcome IN ('wrong', 'missing', 'spurious'))"""
@@ -188,7 +196,7 @@ def _triage(spark, sf):
 
 _SLABS = " OR ".join(f"abs(pn - taxable * {x / d}) <= greatest(0.02, abs(taxable * {x / d}) * 1e-4)" for x in (5, 12, 18, 28) for d in (200.0, 100.0))
 _NEAR = " OR ".join(f"(field <> '{n}' AND {n} IS NOT NULL AND abs(pn - {n}) <= greatest(0.02, abs({n}) * 1e-4))" for n in ("total_taxable_value", "cgst_amount", "igst_amount", "grand_total", "round_off"))
-TRIAGE = f"""tri AS (SELECT model, level, f.doc_id, f.field, CASE WHEN regexp_replace(gt_norm, '[^0-9]', '', 'g') = regexp_replace(pred_norm, '[^0-9]', '', 'g') THEN 'format_error'
+TRIAGE = f"""tri AS MATERIALIZED (SELECT model, level, f.doc_id, f.field, CASE WHEN regexp_replace(gt_norm, '[^0-9]', '', 'g') = regexp_replace(pred_norm, '[^0-9]', '', 'g') THEN 'format_error'
   WHEN abs(pn - gn) <= abs(gn) * 1e-3 THEN 'character_misread' WHEN {_NEAR} OR (taxable <> 0 AND ({_SLABS})) THEN 'field_confusion'
   WHEN gn <> 0 AND (pn / gn BETWEEN 8.5 AND 11.0 OR pn / gn BETWEEN 0.09 AND 0.11) THEN 'character_misread' ELSE 'AMBIGUOUS-numeric' END AS suggested
   FROM (SELECT fi.*, r.gt_norm, r.pred_norm, CAST(r.gt_norm AS DOUBLE) AS gn, CAST(r.pred_norm AS DOUBLE) AS pn FROM findings fi JOIN results r USING (model, level, doc_id, field)
