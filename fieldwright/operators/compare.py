@@ -39,12 +39,6 @@ def paired(docs: DataFrame, flag: str = "exact", unit: Iterable[str] = ("level",
     )
 
 
-def last_of(runs: DataFrame, unit: list[str], order: list[str]) -> DataFrame:
-    """One row a unit, the last in order."""
-    w = Window.partitionBy(*unit).orderBy(*[F.desc(c) for c in order])
-    return runs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-
-
 def mcnemar_counts(pairs_: DataFrame, by: Iterable[str] = (), flag: str = "exact") -> DataFrame:
     a, b = F.col(f"{flag}_a"), F.col(f"{flag}_b")
     return pairs_.groupBy(*by, "model_a", "model_b").agg(F.count_if(a & ~b).alias("n10"), F.count_if(b & ~a).alias("n01"), F.count("*").alias("n"))

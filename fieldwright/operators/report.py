@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldwright.operators import compare as C
 from fieldwright.operators import score as S
+from fieldwright.operators.select import rank_picks
 
 
 def error_mix(results: DataFrame) -> DataFrame:
@@ -63,17 +64,14 @@ def infra_split(calls: DataFrame, error: str = "error") -> DataFrame:
 
 
 def cost_summary(calls: DataFrame, by: str, latency: str, tokens_in: str, tokens_out: str, cost: str, inr: float = 83.0) -> DataFrame:
-    """Means, totals and picked (not interpolated) percentiles of successful calls."""
-    order = Window.partitionBy(by).orderBy(latency)
-    n = F.count("*").over(Window.partitionBy(by))
-    at = F.row_number().over(order) - 1
-    r = calls.withColumns({"_n": n, "_at": at})
-    p95 = F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95).cast("long"))
-    return r.groupBy(by).agg(
+    """Means, totals and picked (not interpolated) percentiles of successful calls; no group is sorted in one place."""
+    sums = calls.groupBy(by).agg(
         F.count("*").alias("n"), F.round(F.avg(tokens_in), 6).alias("mean_in"), F.round(F.avg(tokens_out), 6).alias("mean_out"),
-        F.max(F.when(F.col("_at") == F.floor(F.col("_n") / 2), F.col(latency))).alias("p50"), F.max(F.when(F.col("_at") == p95, F.col(latency))).alias("p95"),
         F.round(F.sum(cost), 6).alias("total"), F.round(F.sum(cost) / F.count("*") * 1000, 6).alias("per_1000"), F.round(F.sum(cost) / F.count("*") * 1000 * inr, 6).alias("per_1000_inr"),
     )
+    picks = rank_picks(calls, [by], latency, {"p50": lambda n: F.floor(n / 2), "p95": lambda n: F.least(n - 1, F.floor(n * 0.95))})
+    other = picks.withColumnRenamed(by, "__by")
+    return sums.join(other, sums[by].eqNullSafe(other["__by"]), "left").select(by, "n", "mean_in", "mean_out", "p50", "p95", "total", "per_1000", "per_1000_inr")
 
 
 def repeat_variance(runs: DataFrame, unit: list[str], value: str, score: Column, by: str) -> DataFrame:
