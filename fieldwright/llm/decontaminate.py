@@ -142,8 +142,8 @@ class Index:
         return r[c], item[c], start[c] + lo - at[c] - own[r[c]], hi - lo, agree[hi] - agree[lo]
 
 
-_SCHEMA = pa.schema([("doc", pa.int64()), ("items", pa.list_(pa.int64())), ("begins", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("agree", pa.list_(pa.int64()))])
-_DDL = "doc long, items array<long>, begins array<long>, lengths array<long>, agree array<long>"
+_SCHEMA = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("items", pa.list_(pa.int64())), ("begins", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("agree", pa.list_(pa.int64()))])
+_DDL = "doc long, key long, items array<long>, begins array<long>, lengths array<long>, agree array<long>"
 
 
 def _search(shared, window: int, percent: int):
@@ -158,7 +158,7 @@ def _search(shared, window: int, percent: int):
                 o = np.lexsort((begin, index.ids[item] if len(item) else item, r))
                 offsets = pa.array(np.searchsorted(r[o], np.arange(hi - lo + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x[o].astype(np.int64))) for x in (index.ids[item] if len(item) else item, begin, n, agree)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *lists], schema=_SCHEMA)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists], schema=_SCHEMA)
 
     return run
 
@@ -175,8 +175,9 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, percent: int = PERCENT, **items) -> list[DataFrame]:
-    """For each block of the benchmark: a row for each row of `docs`, with its id (as `doc`) and its verified overlaps."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    """For each block of the benchmark: a row for each row of `docs`, with its id (as `doc`), a hash of its text (as `key`)
+    and its verified overlaps."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
     return [X.arrow(rows, _search(shared, window, percent), _DDL) for shared in benchmark_blocks(benchmark, window=window, percent=percent, **items)]
 
 
@@ -187,8 +188,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
     def cleaner(search):
         def run(batches):
             for batch in batches:
-                pair = pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc", "text"])
-                clean = [n == 0 for part in search([pair]) for n in part.column(1).value_lengths().to_pylist()]
+                none = pa.nulls(batch.num_rows, pa.int64())
+                pair = pa.record_batch([none, batch.column(at), none], names=["doc", "text", "key"])
+                clean = [n == 0 for part in search([pair]) for n in part.column("items").value_lengths().to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
@@ -205,17 +207,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     at least WINDOW words of the item in a row (all of a shorter one) of which PERCENT agree at their places.
 
     Null and empty texts and items have no overlaps; an item of any number of words counts, if PERCENT of it agree (all of
-    one to four words); equal items each count; repeated rows each get their row; null ids stay null (null item ids are
+    one to four words); equal items each count; repeated rows, and rows of one id with different texts, each get their own row; null ids stay null (null item ids are
     -1). Other columns are ignored, whatever their names.
     """
     found = find_overlaps(docs, benchmark, id_col, text_col, **how)
     if len(found) > 1:
-        every = found[0]
-        for one in found[1:]:
-            every = every.unionByName(one)
+        # rows of one id and one text have the same overlaps: each block's once, then all blocks' together, for each such row
         lists = ("items", "begins", "lengths", "agree")
-        every = every.withColumn("copy", F.lit(1)).groupBy("doc").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists], (F.count("*") / len(found)).cast("int").alias("rows"))
-        found = [every.select("doc", *lists, F.explode(F.sequence(F.lit(1), "rows")).alias("row"))]
+        every = found[0].withColumn("block", F.lit(0))
+        for i, one in enumerate(found[1:], 1):
+            every = every.unionByName(one.withColumn("block", F.lit(i)))
+        once = every.groupBy("block", "doc", "key").agg(F.first(F.struct(*lists)).alias("l"), F.count("*").alias("rows"))
+        whole = once.groupBy("doc", "key").agg(*[F.flatten(F.collect_list(f"l.{c}")).alias(c) for c in lists], F.first("rows").alias("rows"))
+        found = [whole.select("doc", *lists, F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))]
     return found[0].select(
         F.col("doc").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_overlaps"),
         F.coalesce(F.array_max("lengths"), F.lit(0)).alias("longest"), F.size(F.array_distinct("items")).cast("long").alias("n_items"),

@@ -101,18 +101,19 @@ def _spread(at: np.ndarray, total: int, values: np.ndarray) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(at, total)))
 
 
-RUN_DDL = "doc long, first int, more int, lead int, anchor long, ask int"
+RUN_DDL = "doc long, key long, first int, more int, lead int, anchor long, ask int"
 _RUN = pa.schema(
-    [("doc", pa.int64()), ("first", pa.int32()), ("more", pa.int32()), ("lead", pa.int32()), ("anchor", pa.int64()), ("ask", pa.int32())]
+    [("doc", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("more", pa.int32()), ("lead", pa.int32()), ("anchor", pa.int64()), ("ask", pa.int32())]
 )
 
 
-def _run_batches(doc, first, more, lead, anchor, ask, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _run_batches(doc, key, first, more, lead, anchor, ask, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(doc), most):
         s = slice(lo, lo + most)
         yield pa.record_batch(
             [
                 pa.array(doc[s]),
+                pa.array(key[s]),
                 pa.array(first[s].astype(np.int32)),
                 pa.array(more[s].astype(np.int32)),
                 pa.array(lead[s].astype(np.int32)),
@@ -128,7 +129,7 @@ def _find(shape: Shape, keys: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            doc = T.numbers(batch.column(0))
+            doc, text_key = T.numbers(batch.column(0)), T.numbers(batch.column(2))
             buf, starts, ends = T.text_bytes(batch.column(1))
             rows: list[tuple[int, int, bytes]] = []
             parts = []
@@ -136,13 +137,13 @@ def _find(shape: Shape, keys: np.ndarray):
                 a, b = starts[lo], ends[hi - 1]
                 units, own = shape.units(buf[a:b], starts[lo:hi] - a, ends[lo:hi] - a)
                 r = find_runs(units, own, shape.length, shape.q)
-                parts.append((doc[lo:hi][r.row], r.first, r.more, r.lead, r.anchor >> np.uint64(16), r.whole >> np.uint64(16)))
+                parts.append((doc[lo:hi][r.row], text_key[lo:hi][r.row], r.first, r.more, r.lead, r.anchor >> np.uint64(16), r.whole >> np.uint64(16)))
             if not parts:
                 continue
-            d, first, more, lead, h, f = (np.concatenate(x) for x in zip(*parts, strict=True))
+            d, key, first, more, lead, h, f = (np.concatenate(x) for x in zip(*parts, strict=True))
             # a run that a smaller document of this batch has: known here, and sent on as such
             order = np.lexsort((d, f, h))
-            d, first, more, lead, h, f = d[order], first[order], more[order], lead[order], h[order], f[order]
+            d, key, first, more, lead, h, f = (x[order] for x in (d, key, first, more, lead, h, f))
             at = groups(h, f)
             least = _spread(at, len(d), d[at])
             known = d > least
@@ -152,25 +153,25 @@ def _find(shape: Shape, keys: np.ndarray):
                 o, cut = X.split_by(bucket, n)
                 for b in np.flatnonzero(np.diff(cut)):
                     i = k[o[cut[b] : cut[b + 1]]]
-                    i = i[np.lexsort((first[i], d[i]))]
-                    g = groups(d[i])
-                    rows.append((int(keys[b]), 1, X.pack(d[i][g], np.diff(np.append(g, len(i))).astype(np.uint32), first[i].astype(np.uint32), more[i].astype(np.uint16))))
+                    i = i[np.lexsort((first[i], key[i], d[i]))]
+                    g = groups(d[i], key[i])
+                    rows.append((int(keys[b]), 1, X.pack(d[i][g], key[i][g], np.diff(np.append(g, len(i))).astype(np.uint32), first[i].astype(np.uint32), more[i].astype(np.uint16))))
             # an anchor that two documents of this batch have is shared, whoever else has it
             k = np.flatnonzero(~known)
-            d, first, more, lead, h, f = d[k], first[k], more[k], lead[k], h[k], f[k]
+            d, key, first, more, lead, h, f = (x[k] for x in (d, key, first, more, lead, h, f))
             bucket = (h % np.uint64(n)).astype(np.int64)
             o, cut = X.split_by(bucket, n)
             for b in np.flatnonzero(np.diff(cut)):
                 i = o[cut[b] : cut[b + 1]]
-                i = i[np.lexsort((first[i], d[i]))]
-                g = groups(d[i])
+                i = i[np.lexsort((first[i], key[i], d[i]))]
+                g = groups(d[i], key[i])
                 at = first[i].astype(np.uint32)
                 rows.append(
                     (
                         int(keys[b]),
                         0,
                         X.pack(
-                            d[i][g], np.diff(np.append(g, len(i))).astype(np.uint32),
+                            d[i][g], key[i][g], np.diff(np.append(g, len(i))).astype(np.uint32),
                             (at & np.uint32(0xFFFF)).astype(np.uint16), (at >> np.uint32(16)).astype(np.uint16),
                             more[i].astype(np.uint8 if shape.length < 256 else np.uint16), lead[i].astype(np.uint8 if shape.length < 256 else np.uint16),
                             *X.squeeze(h[i] << np.uint64(16)), *X.squeeze(f[i] << np.uint64(16)),
@@ -187,14 +188,14 @@ def _meet(blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     for kind, block in blocks:
         x = X.unpack(block)
         if kind == 1:
-            d = np.repeat(x[0], x[1])
+            d = np.repeat(x[0], x[2])
             zero = np.zeros(len(d), np.int64)
-            yield from _run_batches(d, x[2].astype(np.int64), x[3], zero, zero, 0)
+            yield from _run_batches(d, np.repeat(x[1], x[2]), x[3].astype(np.int64), x[4], zero, zero, 0)
         else:
-            parts.append((np.repeat(x[0], x[1]), x[2].astype(np.int64) | (x[3].astype(np.int64) << 16), x[4].astype(np.int32), x[5].astype(np.int32), X.unsqueeze(x[6], x[7]), X.unsqueeze(x[8], x[9])))
+            parts.append((np.repeat(x[0], x[2]), np.repeat(x[1], x[2]), x[3].astype(np.int64) | (x[4].astype(np.int64) << 16), x[5].astype(np.int32), x[6].astype(np.int32), X.unsqueeze(x[7], x[8]), X.unsqueeze(x[9], x[10])))
     if not parts:
         return
-    d, first, more, lead, h, f = (np.concatenate(x) for x in zip(*parts, strict=True))
+    d, key, first, more, lead, h, f = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     # only anchors of more than one entry matter
     o = np.argsort(h)
@@ -202,11 +203,11 @@ def _meet(blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     at = groups(hs)
     sizes = np.diff(np.append(at, len(hs)))
     o = o[np.repeat(sizes > 1, sizes)]
-    d, first, more, lead, h, f = d[o], first[o], more[o], lead[o], h[o], f[o]
+    d, key, first, more, lead, h, f = (x[o] for x in (d, key, first, more, lead, h, f))
     if not len(d):
         return
     o = np.lexsort((d, f, h))
-    d, first, more, lead, h, f = d[o], first[o], more[o], lead[o], h[o], f[o]
+    d, key, first, more, lead, h, f = (x[o] for x in (d, key, first, more, lead, h, f))
     at = groups(h)
     least_all = _spread(at, len(d), np.minimum.reduceat(d, at))
     most_all = _spread(at, len(d), np.maximum.reduceat(d, at))
@@ -217,14 +218,14 @@ def _meet(blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     shared = least_all < most_all
     done = shared & (d > least)
     zero = np.zeros(len(d), np.int64)
-    yield from _run_batches(d[done], first[done], more[done], zero[done], zero[done], 0)
+    yield from _run_batches(d[done], key[done], first[done], more[done], zero[done], zero[done], 0)
     # others of the anchor: all occurrences in the least document of each run; only one where nothing smaller exists
     ask = shared & (d == least) & (several > 1)
     opening = np.zeros(len(d), bool)
     opening[same] = True
     ask &= (least > least_all) | opening
     how = np.where(several > WIDE, 2, 1)
-    yield from _run_batches(d[ask], first[ask], more[ask], lead[ask], h[ask].astype(np.int64), how[ask])
+    yield from _run_batches(d[ask], key[ask], first[ask], more[ask], lead[ask], h[ask].astype(np.int64), how[ask])
 
 
 def _fetch(shape: Shape, keys: np.ndarray):
@@ -233,9 +234,9 @@ def _fetch(shape: Shape, keys: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            doc = T.numbers(batch.column(0))
+            doc, text_key = T.numbers(batch.column(0)), T.numbers(batch.column(2))
             buf, starts, ends = T.text_bytes(batch.column(1))
-            asked = batch.column(2)
+            asked = batch.column(3)
             lists = asked.flatten()
             count = np.asarray(asked.value_lengths().fill_null(0))
             upto = np.concatenate([[0], np.cumsum(count)])
@@ -254,13 +255,13 @@ def _fetch(shape: Shape, keys: np.ndarray):
                     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     src = np.repeat(wide, times)
                     ws = start[src] + step
-                    key = T.hash_spans(T.prefix(units.astype(np.uint64) + np.uint64(1)), ws, ws + shape.length) >> np.uint64(16)
+                    content = T.hash_spans(T.prefix(units.astype(np.uint64) + np.uint64(1)), ws, ws + shape.length) >> np.uint64(16)
                     narrow = np.flatnonzero(k1 != 2)
                     row = np.concatenate([row[narrow], row[src]])
                     f1 = np.concatenate([f1[narrow], f1[src] + step])
                     l1 = np.concatenate([l1[narrow], np.zeros(len(src), np.int64)])
                     m1 = np.concatenate([m1[narrow], np.zeros(len(src), np.int64)])
-                    h1 = np.concatenate([h1[narrow], key])
+                    h1 = np.concatenate([h1[narrow], content])
                     start = np.concatenate([start[narrow], ws])
                 size = m1 + shape.length
                 o, cut = X.split_by((h1 % np.uint64(n)).astype(np.int64), n)
@@ -268,7 +269,7 @@ def _fetch(shape: Shape, keys: np.ndarray):
                     i = o[cut[b] : cut[b + 1]]
                     z = size[i]
                     inner = np.arange(z.sum()) - np.repeat(np.cumsum(z) - z, z)
-                    rows.append((int(keys[b]), 0, X.pack(doc[lo:hi][row[i]], f1[i].astype(np.uint32), m1[i].astype(np.uint16), l1[i].astype(np.uint16), h1[i], units[np.repeat(start[i], z) + inner])))
+                    rows.append((int(keys[b]), 0, X.pack(doc[lo:hi][row[i]], text_key[lo:hi][row[i]], f1[i].astype(np.uint32), m1[i].astype(np.uint16), l1[i].astype(np.uint16), h1[i], units[np.repeat(start[i], z) + inner])))
             yield from X.block_batches(rows)
 
     return run
@@ -276,7 +277,7 @@ def _fetch(shape: Shape, keys: np.ndarray):
 
 def _refine(shape: Shape, refine: Callable):
     def run(blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        d, first, more, lead, h, units = (np.concatenate(x) for x in zip(*(X.unpack(b) for _, b in blocks), strict=True))
+        d, key, first, more, lead, h, units = (np.concatenate(x) for x in zip(*(X.unpack(b) for _, b in blocks), strict=True))
         more, lead, first = more.astype(np.int64), lead.astype(np.int64), first.astype(np.int64)
         size = more + shape.length
         run_of, at = refine(shape.length, d, more, lead, h, units, np.cumsum(size) - size)
@@ -290,26 +291,28 @@ def _refine(shape: Shape, refine: Callable):
         g = np.flatnonzero(new)
         count = np.diff(np.append(g, len(at)))
         zero = np.zeros(len(g), np.int64)
-        yield from _run_batches(d[run_of[g]], first[run_of[g]] + at[g], count - 1, zero, zero, 0)
+        yield from _run_batches(d[run_of[g]], key[run_of[g]], first[run_of[g]] + at[g], count - 1, zero, zero, 0)
 
     return run
 
 
-def repeated_runs(docs: DataFrame, shape: Shape, refine: Callable) -> tuple[DataFrame, DataFrame]:
-    """docs(doc long, text) -> (docs dealt by doc, runs(doc, ask, list of runs of windows that a smaller doc has too)).
+def repeated_runs(docs: DataFrame, shape: Shape, refine: Callable) -> DataFrame:
+    """docs(doc long, text, key long) -> runs(doc, key, list of runs of windows that a smaller doc has too).
 
-    The dealt documents are one exchange that every later join reads again.
+    Documents are compared by doc; rows are told apart by doc and key, a hash of the text, so that rows of one doc with
+    different texts keep their own runs.
     """
     n = X.reducers(docs)
     keys = X.bucket_keys(n)
     found = X.arrow(docs, _find(shape, keys), X.BLOCKS_DDL)
     met = X.keep(X.reduce_blocks(found, n, _meet, RUN_DDL), "runs")
-    asks = met.where("ask > 0").groupBy("doc").agg(F.collect_list(F.struct("first", "more", "lead", "anchor", "ask")).alias("asked"))
-    texts = docs.join(asks, "doc").select("doc", "text", "asked")
+    asks = met.where("ask > 0").groupBy("doc", "key").agg(F.collect_list(F.struct("first", "more", "lead", "anchor", "ask")).alias("asked"))
+    texts = docs.join(asks, ["doc", "key"]).select("doc", "text", "key", "asked")
     fetched = X.arrow(texts, _fetch(shape, keys), X.BLOCKS_DDL)
     refined = X.reduce_blocks(fetched, n, _refine(shape, refine), RUN_DDL)
-    done = met.where("ask = 0").select("doc", "first", "more").unionByName(refined.select("doc", "first", "more"))
-    return docs, done.groupBy("doc").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
+    own = ("doc", "key", "first", "more")
+    done = met.where("ask = 0").select(*own).unionByName(refined.select(*own))
+    return done.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, runs: pa.Array, length: int, total: int) -> np.ndarray:

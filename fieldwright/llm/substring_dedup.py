@@ -108,8 +108,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for each row of `docs`: its id (as `doc`), n_words, n_removed and kept (the remaining words joined by one space, UTF-8).
 
     Null texts have no words; texts of fewer than `words` words lose nothing. Rows with equal ids (null ids are one id,
-    below all others and returned as null) count as one document and don't remove each other's words. Other columns are
-    ignored, whatever their names.
+    below all others and returned as null) count as one document and don't remove each other's words, but each such row loses
+    what its own text shares with smaller ids. Other columns are ignored, whatever their names.
     """
     shape = S.Shape(words, min(seed, words), _words_as_units)
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(f"`{text_col}`").alias("text"))

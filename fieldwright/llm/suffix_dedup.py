@@ -134,7 +134,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts are empty; empty texts and texts under `length` bytes lose nothing. Rows with equal ids (null ids
     are one id, below all others and returned as null) count as one document: they don't remove each other's bytes,
-    and a string repeated within one document stays. Other columns are ignored, whatever their names.
+    and a string repeated within one document stays; each such row loses what its own text shares with smaller ids. Other columns are ignored, whatever their names.
     """
     shape = S.Shape(length, min(anchor, length), _bytes_as_units)
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(f"`{text_col}`").alias("text"))
@@ -142,8 +142,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _with_runs(rows: DataFrame, shape: S.Shape, refine, apply, ddl: str) -> DataFrame:
-    rows, runs = S.repeated_runs(rows, shape, refine)
-    out = X.arrow(rows.join(runs, "doc", "left").select("doc", "text", "runs"), apply, ddl)
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    runs = S.repeated_runs(rows, shape, refine)
+    out = X.arrow(rows.join(runs, ["doc", "key"], "left").select("doc", "text", "runs"), apply, ddl)
     return out.withColumn("doc", F.when(F.col("doc") != -(1 << 63), F.col("doc")))
 
 
