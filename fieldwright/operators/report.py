@@ -19,6 +19,21 @@ def error_mix(results: DataFrame) -> DataFrame:
     return counts.withColumn("made_share", F.round(F.try_divide(made.cast("double"), (made + F.col("missing")).cast("double")), 6))
 
 
+def group_accuracy(results: DataFrame, by: Iterable[str]) -> DataFrame:
+    """(by, part, accuracy, hallucination, n_due, format_errors) for the header, the lines and all fields, by one aggregation.
+
+    A group without lines has no row for them. The parts are grouping sets, so rows are read and shuffled once.
+    """
+    by = list(by)
+    part = F.when(F.col("row").isNull(), "header").otherwise("line")
+    r = results.withColumn("part", part)
+    keys = [F.col(c) for c in by]
+    sets = r.groupingSets([[*keys, F.col("part")], keys], *keys, F.col("part")).agg(
+        F.grouping("part").alias("__all"), S.accuracy().alias("accuracy"), S.hallucination_rate().alias("hallucination"), F.count_if(S.due()).alias("n_due"), F.count_if("format_error").alias("format_errors")
+    )
+    return sets.withColumn("part", F.when(F.col("__all") == 1, "all").otherwise(F.col("part"))).drop("__all")
+
+
 def degradation_curve(results: DataFrame, levels: list[str]) -> DataFrame:
     """Accuracy by model and level, and the drop from the first level to the last."""
     by = results.groupBy("model").pivot("level", levels).agg(F.round(S.accuracy(), 6))
