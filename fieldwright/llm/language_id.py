@@ -21,11 +21,15 @@ from fieldwright.llm import exchange as X
 from fieldwright.llm import text as T
 
 ORDER = 5
-#: The sample that models are fitted on: documents for each language, and characters that a document of it may have.
+#: The sample that models are fitted on: documents for each language, characters that a document of it may have, and pieces
+#: that these are taken in, from all over a longer text.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
+SAMPLE_PIECES = 10
 #: One document in so many of the sample is for calibration.
 CALIBRATION = 5
+#: How far above its own texts a language's limit is where no other was learned.
+STRANGE = 1.0
 UNKNOWN = "und"
 _START, _END = np.uint64(1), np.uint64(2)
 _STORE_WORDS = 500_000
@@ -156,16 +160,46 @@ def fit_models(sample: list[tuple[str, str]]) -> Models:
             to_key.append(key)
             to_value.append(value)
     models = Models(languages, keys, logp, ctx, leave, base, np.full(len(languages), np.inf))
-    for j, language in enumerate(languages):
-        texts = by[language][::CALIBRATION]
-        total, n = score_words(models, [w for t in texts for w in t.split()] or ["a"])
-        own = np.repeat(np.arange(len(texts)), [len(t.split()) for t in texts])
-        if len(own):
-            h = -np.bincount(own, weights=total[:, j], minlength=len(texts)) / np.maximum(np.bincount(own, weights=n, minlength=len(texts)), 1)
-            models.limit[j] = np.quantile(h, 0.99) + 2.0
+    models.limit[:] = _limits(models, [by[x][::CALIBRATION] for x in languages])
     return models
 
 
+def _entropies(m: Models, texts: list[str]) -> np.ndarray:
+    """Cross-entropy of each text in every language; texts without a letter have no row."""
+    total, n = score_words(m, [w for t in texts for w in t.split()] or ["1"])
+    own = np.repeat(np.arange(len(texts)), [len(t.split()) for t in texts])
+    if not len(own):
+        return np.empty((0, len(m.languages)))
+    size = np.bincount(own, weights=n, minlength=len(texts))
+    h = np.stack([-np.bincount(own, weights=total[:, j], minlength=len(texts)) for j in range(len(m.languages))], 1)
+    return h[size > 0] / size[size > 0][:, None]
+
+
+def _limits(m: Models, texts: list[list[str]]) -> np.ndarray:
+    """By language, the cross-entropy above which a text is rejected, from texts that no model has learned.
+
+    Each language is left out in turn: its texts go to the nearest of the others, as those of a language that nobody has
+    learned would. A language's limit is half way between what its own texts reach at most (0.99 of them) and what such
+    strangers have at least (0.95 of those that came to it, or of all where none did), never below the former. With one
+    language there are no strangers, and it is STRANGE above its own.
+    """
+    each = [_entropies(m, x) for x in texts]
+    strangers: list[list[float]] = [[] for _ in texts]
+    for i, h in enumerate(each):
+        if len(texts) > 1:
+            rest = np.delete(h, i, 1)
+            nearest = np.delete(np.arange(len(texts)), i)[rest.argmin(1)] if len(h) else np.empty(0, np.int64)
+            for j, x in zip(nearest.tolist(), rest.min(1).tolist() if len(h) else [], strict=True):
+                strangers[j].append(x)
+    every = [x for s in strangers for x in s]
+    out = np.full(len(texts), np.inf)
+    for j, h in enumerate(each):
+        if len(h):
+            own = np.quantile(h[:, j], 0.99)
+            out[j] = max(own, (own + np.quantile(strangers[j] or every, 0.05)) / 2) if every else own + STRANGE
+    return out
+
+
 def score_words(m: Models, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each word: log probability in every language, and predicted symbols (0: it has no letter)."""
     sym, word, predicted = symbols(words)
@@ -269,10 +303,23 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _all_over(text: Column, chars: int, pieces: int = SAMPLE_PIECES) -> Column:
+    """A text of up to `chars` characters whole; of a longer one, whole words of `pieces` pieces that lie evenly in it (a
+    piece without a blank as it is)."""
+    size, n = max(1, chars // pieces), F.length(text)
+
+    def taken(i: int) -> Column:
+        piece = F.substring(text, (F.lit(1) + F.floor((n - size) * i / max(1, pieces - 1))).cast("int"), F.lit(size))
+        return F.coalesce(F.nullif(F.regexp_replace(piece, r"^\S+|\S+$", ""), F.lit("")), piece)
+
+    return F.when(n > chars, F.concat_ws(" ", *[taken(i) for i in range(pieces)])).otherwise(text)
+
+
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most `most` (language, text) pairs for each language, those of least id hash; of a longer text, its first `chars` characters."""
+    """At most `most` (language, text) pairs for each language, those of least id hash; of a text longer than `chars` characters,
+    pieces of as many together (`_all_over`)."""
     ident = F.col(f"`{id_col}`")
-    rows = docs.where(~held_out(ident)).select(F.col(f"`{lang_col}`").alias("lang"), F.substring(F.col(f"`{text_col}`"), 1, chars).alias("text"), F.xxhash64(ident.cast("string"), F.lit(7)).alias("h"))
+    rows = docs.where(~held_out(ident)).select(F.col(f"`{lang_col}`").alias("lang"), _all_over(F.col(f"`{text_col}`"), chars).alias("text"), F.xxhash64(ident.cast("string"), F.lit(7)).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & (F.col("text") != ""))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:

@@ -154,13 +154,17 @@ class _Reader:
 
 
 def records(data) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields with lower-case names, block) of each record of an archive."""
+    """(header fields with lower-case names, block) of each record of an archive. Of a repeated field the last counts, but
+    all values of WARC-Concurrent-To do, one a line."""
     reader = _Reader(_inflated(data))
     while (head := reader.upto(b"\r\n\r\n")) is not None:
         lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record where one was expected: {lines[0][:60]!r}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        fields: dict[str, str] = {}
+        for k, _, v in (x.partition(":") for x in lines[1:]):
+            name, before = k.strip().lower(), fields.get(k.strip().lower())
+            fields[name] = f"{before}\n{v.strip()}" if before is not None and name == "warc-concurrent-to" else v.strip()
         block = reader.take(int(fields["content-length"]))
         reader.take(4)
         yield fields, block
@@ -195,24 +199,26 @@ def _parse(batches):
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RECORD.types, strict=True)], schema=_RECORD)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives under `path` (gzipped, by record or as a whole, or plain).
+def read_warc(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """One row for each record of the archives under `path` whose file names match `names` (gzipped, by record or as a
+    whole, or plain). Names that begin with `_` or `.` are no archives.
 
     Payload digests of responses are verified: a damaged archive raises. An empty folder gives no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("content")
     return X.arrow(files, _parse, RECORD_DDL)
 
 
 def assemble_transactions(records: DataFrame) -> DataFrame:
     """One nested row for each capture: id, uri, digest, and its request, response (or revisit) and metadata records.
 
-    Requests and metadata find their response by WARC-Concurrent-To; missing ones are null. A revisit's payload_bytes and
+    Requests and metadata find their response by WARC-Concurrent-To (any of its values); missing ones are null, of several
+    the least by record id counts. A revisit's payload_bytes and
     digest are those of the payload it refers to, found by digest; refers_to is the metadata of the response with the
     least page-id of that digest. Null digests refer to nothing.
     """
     is_main = F.col("type").isin("response", "revisit")
-    root = F.when(is_main, F.col("record_id")).otherwise(F.col("concurrent_to"))
+    root = F.explode(F.when(is_main, F.array("record_id")).otherwise(F.array_distinct(F.split("concurrent_to", "\n"))))
 
     def of(kind: Column, value: Column) -> Column:
         return F.min(F.when(kind, value))
@@ -220,8 +226,8 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
     small = F.struct("record_id", "uri", F.map_entries("fields").alias("fields"))
     main = ("type", "uri", "digest", "payload_bytes", "payload")
     joined = (
-        records.where(root.isNotNull())
-        .groupBy(root.alias("record_id"))
+        records.select("*", root.alias("root"))
+        .groupBy(F.col("root").alias("record_id"))
         .agg(*[of(is_main, F.col(c)).alias(f"r_{c}") for c in main], *[of(F.col("type") == k, small).alias(k) for k in ("request", "metadata")])
         .where(F.col("r_type").isNotNull())
     )

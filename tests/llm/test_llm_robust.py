@@ -91,3 +91,18 @@ def test_bucket_keys_reach_their_partition(spark):
     keys = exchange.bucket_keys(37)
     rows = spark.createDataFrame([(int(k), i) for i, k in enumerate(keys)], "k int, i int")
     assert rows.selectExpr("count_if(pmod(hash(k), 37) <> i) AS n").first()["n"] == 0
+
+
+def test_archives_of_any_name_and_several_concurrent_ids(spark, tmp_path):
+    def record(kind, ident, more, block):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{ident}>\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    near = "WARC-Concurrent-To: <urn:a>\r\nWARC-Concurrent-To: <urn:b>\r\n"
+    http = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    data = b"".join([record("response", "a", "", http), record("response", "b", "", http), record("request", "q", near, b"GET /\r\n\r\n"), record("metadata", "m", "WARC-Concurrent-To: <urn:b>\r\n", b"page-id: 7\r\n")])
+    (tmp_path / "CC-MAIN-0.warc.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "other.warc").write_bytes(record("response", "c", "", http))
+    got = {r["capture_id"]: (r["page_id"], r["request"] and r["request"]["record_id"]) for r in warc.assemble_transactions(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert got == {"<urn:a>": (None, "<urn:q>"), "<urn:b>": (7, "<urn:q>"), "<urn:c>": (None, None)}
+    assert warc.read_warc(spark, str(tmp_path), "other*").count() == 1

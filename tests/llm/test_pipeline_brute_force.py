@@ -109,7 +109,16 @@ def identified(sample: list[tuple[str, str]]) -> dict:
     models, limit = {}, {}
     for lang, texts in by.items():
         models[lang] = PlainModel([t for i, t in enumerate(texts) if i % language_id.CALIBRATION])
-        limit[lang] = np.quantile([models[lang].entropy(t)[0] for t in texts[:: language_id.CALIBRATION]], 0.99) + 2.0
+    own, strange = {}, defaultdict(list)
+    for lang, texts in by.items():
+        apart = texts[:: language_id.CALIBRATION]
+        own[lang] = np.quantile([models[lang].entropy(t)[0] for t in apart], 0.99)
+        for t in apart:  # as if its language had not been learned
+            h, other = min((models[x].entropy(t)[0], x) for x in sorted(models) if x != lang)
+            strange[other].append(h)
+    every = [h for x in strange.values() for h in x]
+    for lang in by:
+        limit[lang] = max(own[lang], (own[lang] + np.quantile(strange[lang] or every, 0.05)) / 2)
     out = {}
     for i, text, *_ in ROWS:
         scores = {lang: m.entropy(text or "") for lang, m in sorted(models.items())}
