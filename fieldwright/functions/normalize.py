@@ -238,6 +238,15 @@ def present(c: Column) -> Column:
     return F.when(~is_null_token(c), c)
 
 
+def normalized(frame: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """The frame with <name> and <name>_ok for each name: (type, text), worked out as projections one after another.
+
+    `normalize` gives the same as one expression, which leaves generated code.
+    """
+    folded = frame.withColumns({f"__{n}": fold(present(c)) for n, (_, c) in columns.items()})
+    return staged(folded, {n: STEPS[ftype](F.col(f"`__{n}`")) for n, (ftype, _) in columns.items()}).drop(*[f"__{n}" for n in columns])
+
+
 def normalize(ftype: str, c: Column, field: str = "") -> Column:
     """struct(value, ok) by field type; values that mean 'no value' are null first."""
     return inline(STEPS[kind_of(ftype, field)])(present(c))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldwright.functions import constants as C
 from fieldwright.functions import gstin as G
 from fieldwright.functions import normalize as N
 from fieldwright.functions import parse as P
@@ -34,7 +35,7 @@ def norm_exact_alnum(spark, sf):
 def norm_money(spark, sf):
     x = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
     shown = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("("), x, F.lit(")"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Rs. "), x)).otherwise(F.concat(F.lit("INR "), x, F.lit(" CR")))
-    return t(spark, sf, "orders").select("o_orderkey", N.money(shown)["value"].cast("double").alias("v"))
+    return N.normalized(t(spark, sf, "orders"), {"v": ("money", shown)}).select("o_orderkey", F.col("v").cast("double").alias("v"))
 
 
 @query("norm_quantity", "SELECT l_orderkey, l_partkey, l_linenumber, CAST(CAST(l_quantity AS DECIMAL(18,3)) AS DOUBLE) AS v FROM lineitem")
@@ -55,7 +56,7 @@ def norm_date(spark, sf):
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
     forms = ("dd/MM/yyyy", "d-MMM-yyyy", "yyyy.MM.dd", "d MMMM yyyy", "dd.MM.yyyy")
     shown = F.coalesce(*[F.when(k == i, F.concat(F.lit("Dated: " if i == 0 else ""), F.date_format(d, f))) for i, f in enumerate(forms)])
-    return t(spark, sf, "orders").select("o_orderkey", N.date(shown)["value"].alias("v"))
+    return N.normalized(t(spark, sf, "orders"), {"v": ("date", shown)}).select("o_orderkey", "v")
 
 
 @query("norm_state", I.sql("SELECT doc_id, gt_place_of_supply AS v FROM truth", I.TRUTH_SQL))
@@ -315,3 +316,45 @@ def hungarian_align(spark, sf):
     item = F.struct("line_no", F.concat(F.lit("part "), F.col("part").cast("string")).alias("description"), F.col("part").cast("string").alias("hsn_sac"), F.col("taxable_value").cast("double").alias("taxable_value"), F.col("quantity").cast("double").alias("quantity"), (F.col("gross") / F.col("quantity")).cast("double").alias("unit_price"))
     docs = x.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("truth"), F.sort_array(F.collect_list(F.when(F.col("part") % 9 != 0, item)), asc=False).alias("seen"))
     return A.align(docs, "doc_id")
+
+
+@query("norm_bool_flags", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN false END AS v, l_returnflag = 'N' AS ok FROM lineitem")
+def norm_bool_flags(spark, sf):
+    """Flags as they stand in the table, of which one is a word for no and the others can't be read."""
+    return N.normalized(t(spark, sf, "lineitem"), {"v": ("bool", F.col("l_returnflag"))}).select("l_orderkey", "l_linenumber", "l_partkey", "v", F.col("v_ok").alias("ok"))
+
+
+_TOKENS = ", ".join(f"'{x}'" for x in C.NULL_TOKENS)
+
+
+@query("null_words", rf"""SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN lower(trim(word)) IN ({_TOKENS}) THEN 1 ELSE 0 END) AS BIGINT) AS none
+  FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY doc_id""")
+def null_words(spark, sf):
+    """How many of each text's words mean that there is no value; two blanks have an empty one between them."""
+    words = t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(N.is_null_token(F.col("word"))).alias("none"))
+
+
+_MARKS = " OR ".join("contains(x, '" + m.replace("'", "''") + "')" for m in C.REFUSAL_MARKERS)
+
+
+@query("refusals_in_turns", f"SELECT conv_id, turn, NOT starts_with(x, '{{') AND ({_MARKS}) AS v FROM (SELECT *, substr(lower(trim(said)), 1, 600) AS x FROM (SELECT *, CASE WHEN role = 'assistant' AND conv_id % 4 = 0 THEN 'Sorry, I cannot help: ' || text ELSE text END AS said FROM conversations))")
+def refusals_in_turns(spark, sf):
+    """Which turns read like a refusal; in a quarter of the conversations the assistant refuses."""
+    refused = (F.col("role") == "assistant") & (F.col("conv_id") % 4 == 0)
+    said = F.when(refused, F.concat(F.lit("Sorry, I cannot help: "), "text")).otherwise(F.col("text"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", P.looks_like_refusal(said).alias("v"))
+
+
+_KEY = "CAST(json_extract_string(props, '$.k') AS INT)"
+
+
+@query("response_recovery", f"""SELECT event_id, CASE event_id % 9 WHEN 0 THEN {_KEY} WHEN 1 THEN {_KEY} WHEN 2 THEN {_KEY} WHEN 8 THEN {_KEY} END AS k,
+  CASE event_id % 9 WHEN 3 THEN 'malformed_json' WHEN 4 THEN 'malformed_json' WHEN 5 THEN 'json_not_an_object' WHEN 6 THEN 'no_json_object' WHEN 7 THEN 'empty_response' END AS violation FROM events""")
+def response_recovery(spark, sf):
+    """The events' JSON as models pack it: bare, fenced, in prose, with NaN beside it; broken off, doubled commas, listed, absent, null."""
+    props, prose = F.col("props"), lambda c: F.concat(F.lit("Here you are:\n"), c, F.lit("\nAnything else?"))
+    broken = F.concat(F.substring(props, F.lit(1), F.length(props) - 1), F.lit(",,}"))
+    forms = (props, F.concat(F.lit("```\n"), props, F.lit("\n```")), prose(props), prose(broken), F.concat(F.lit("{ "), props), F.concat(F.lit("["), props, F.lit("]")), F.regexp_replace(props, "[{}]", ""), F.lit(None).cast("string"), F.concat(F.lit('{"x": NaN, '), F.substring(props, F.lit(2), F.length(props))))
+    raw = F.get(F.array(*forms), (F.col("event_id") % 9).cast("int"))
+    return t(spark, sf, "events").select("event_id", P.parse_response(raw).alias("r")).select("event_id", F.get_json_object("r.record", "$.k").cast("int").alias("k"), "r.violation")
