@@ -182,7 +182,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, percent: int = PERCENT, **items) -> DataFrame:
-    """The rows of `docs` without a verified overlap, with all their columns; each block of the benchmark takes its own away."""
+    """The rows of `docs` without a verified overlap, with all their columns; each block of the benchmark takes its own away.
+
+    Rows are judged each by their own text, whatever their ids: null and empty texts stay, repeated rows stay or go alike,
+    very long texts are searched whole; an empty table gives no rows, an empty benchmark all.
+    """
     at = docs.columns.index(text_col)
 
     def cleaner(search):
@@ -228,5 +232,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its overlaps with the benchmark; nulls, repeats, ties and empty tables as in `decontaminate`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

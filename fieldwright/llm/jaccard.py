@@ -297,7 +297,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, with all its columns: that of least id (where ids repeat or are null, of least id and text hash)."""
+    """One row of each component, with all its columns: that of least id (where ids repeat or are null, of least id and text hash).
+
+    Null and empty texts are linked with nothing and stay; of repeated rows one stays; very long texts are shingled whole;
+    an empty table gives no rows.
+    """
     out, unique = _rooted(docs, id_col, text_col, words, percent)
     stay = out.where("doc = root").select(F.col("doc").alias("key")).distinct()
     key = _key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"), unique)
@@ -370,6 +374,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component; nulls, repeats, ties and empty tables as in `jaccard_components`."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

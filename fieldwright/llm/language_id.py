@@ -283,7 +283,11 @@ def _predict(shared, name: str):
 
 
 def keep_identified(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose language is accepted, with all their columns: `identify_language` says which."""
+    """The rows of `docs` whose language is accepted, with all their columns: `identify_language` says which.
+
+    Null and empty texts and texts without a letter go; rows are judged each by their own text, so repeated ones alike; of
+    equal entropies the first language counts; very long texts are judged whole; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(models)
     predict = _predict(shared, f"{spark.sparkContext.applicationId}-{shared._path}")
@@ -350,6 +354,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; nulls, ties, repeats and empty tables as in `identify_language`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify_language(docs, learn(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

@@ -152,12 +152,17 @@ def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, times: int = 2, seed: int = 0,
 ) -> DataFrame:
-    """The mix itself: each document as often as the mix takes any of its words, whole each time, with the columns of `docs`."""
+    """The mix itself: each document as often as the mix takes any of its words, whole each time, with the columns of `docs`.
+
+    Null and empty texts have no words and are never taken; repeated rows, ties, null sources and ids, very long texts and
+    empty tables are as in `mix_sources`.
+    """
     out = _mixed(docs, id_col, source_col, text_col, weights, share_percent, times, seed).where("passes > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes; nulls, ties, repeats and empty tables as in `mix_sources`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = ("size", "source_size", "target", "taken")
     return mix_sources(docs, carry=("doc_id",)).select("doc_id", *[F.col(f"mix_{c}").alias(c) for c in names])

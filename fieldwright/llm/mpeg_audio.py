@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwright.llm import exchange as X
@@ -266,13 +266,31 @@ def _write(batches):
         buf, starts, ends = T.text_bytes(batch.column(1))
         for lo, hi in T.slices(starts, ends):
             media = [write_stream(buf[a:b].tobytes()) for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
-            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(media, pa.binary())], names=["doc_id", "media"])
+            found = [read_stream(x) for x in media]  # what is stored beside a stream is what its bytes say
+            columns = [pa.array(media, pa.binary()), pa.array([x.samples for x in found], pa.int64()), pa.array([x.hertz for x in found], pa.int32()), pa.array([x.offsets for x in found], pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *columns], names=["doc_id", "media", "samples", "hertz", "offsets"])
+
+
+_MEDIA_DDL = "doc_id long, media binary, samples long, hertz int, offsets array<long>"
+#: Samples in a frame of the streams that are written.
+SAMPLES = 1152
 
 
 def encode_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media): each text's UTF-8 bytes as an MPEG audio stream. Null texts are empty and still one frame."""
+    """(doc_id, media, samples, hertz, offsets): each text's UTF-8 bytes as an MPEG audio stream, with its exact duration
+    (samples / hertz seconds) and the byte offset of each frame, to seek by (`seek`).
+
+    Null texts are empty and still one frame; rows with equal or null ids, and repeated rows, are streams of their own;
+    a very long text is one long stream; other columns are ignored; an empty table gives no rows.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return X.arrow(rows, _write, "doc_id long, media binary")
+    return X.arrow(rows, _write, _MEDIA_DDL)
+
+
+def seek(offsets: Column, hertz: Column, seconds: Column) -> Column:
+    """Byte offset of the frame that sounds at a time; null beyond the stream's end or before its start."""
+    frame = F.floor(seconds * hertz / SAMPLES).cast("int")
+    return F.when(frame >= 0, F.get(offsets, frame))
 
 
 _READ_DDL = (
@@ -309,7 +327,9 @@ def _batch(rows) -> pa.RecordBatch:
 def parse_audio(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", offsets: bool = True, payload: bool = True) -> DataFrame:
     """Read streams: what they are, exact duration (samples / hertz), frame offsets, checksums, tags, tables and payload.
 
-    Null and empty streams and those without a frame have kind 'none', no samples and no offsets. Other columns are ignored.
+    Null and empty streams and those without a frame have kind 'none', no samples and no offsets; rows with equal or null
+    ids, and repeated rows, are read each; a very long stream is read whole; other columns are ignored; an empty table
+    gives no rows.
     """
     rows = media.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{media_col}`").alias("media"))
     return X.arrow(rows, _read(offsets, payload), _READ_DDL)
@@ -321,10 +341,12 @@ _OP2_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 def _digest(batches):
     for batch in batches:
         rows = []
-        for ident, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for ident, media, samples, offsets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(4), strict=True):
             b = media.as_buffer().to_pybytes()
             s = read_stream(b)
             p = whole_payload(b, s)
+            if samples != s.samples or not np.array_equal(offsets.values.to_numpy(), s.offsets):
+                raise ValueError(f"document {ident}: its frames are not where its stored offsets say")
             rows.append((ident, int(s.tags["bytes"]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(b), hashlib.sha256(b).hexdigest(), describe(s)))
         if rows:
             c = list(zip(*rows, strict=True))
@@ -332,5 +354,6 @@ def _digest(batches):
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored stream, read back; nulls, repeats, long texts and empty tables as in `encode_audio`."""
     stored = X.keep(encode_audio(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     return X.arrow(stored, _digest, _OP2_DDL)

@@ -117,6 +117,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, less windows that smaller ids have too; nulls, equal ids and repeats as in `substring_dedup`, an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup(docs).select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

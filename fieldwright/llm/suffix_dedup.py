@@ -149,6 +149,7 @@ def _with_runs(rows: DataFrame, shape: S.Shape, refine, apply, ddl: str) -> Data
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, less what smaller ids have too; nulls, equal ids and repeats as in `suffix_dedup`, an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_dedup(docs).select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -235,7 +235,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """A row for each document, read from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    start is a running sum within each file part plus the sum of the parts before it, so no task sees all documents.
+    start is a running sum within each file part plus the sum of the parts before it, so no task sees all documents. Rows with
+    equal or null ids have a row each, in file order; no files, or empty ones, give no rows.
     """
     rows = X.arrow(read_token_files(spark, path), _crc, _CRC_DDL)
     rows = X.keep(rows, "token-index")
@@ -246,6 +247,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids in token files; nulls, repeats and ties as in `write_token_files`, an empty table gives no rows."""
     path = X.new_path(spark, "tokens")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_path())
     return token_index(spark, path)

@@ -150,6 +150,7 @@ def _joined(rows: DataFrame, rules, words: list[str], default: str) -> DataFrame
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; nulls, repeats, long rule lists and empty tables as in `filter_urls`."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return filter_urls(pages).select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
 

@@ -251,6 +251,7 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written and read back; nulls, repeats and ties as in `write_warc`, an empty table gives no rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = X.new_path(spark, "warc")
     write_warc(pages, path)
