@@ -39,16 +39,14 @@ def test_query_keeps_a_text_with_a_tag(spark, tmp_path):
 
 
 def test_durations_and_seek_offsets_are_stored(spark):
-    from pyspark.sql import functions as F
-
     texts = [(1, "a" * 2000), (2, None), (2, "b"), (None, "TAG" * 700)]
-    stored = mpeg_audio.encode_audio(spark.createDataFrame(texts, "doc_id long, text string"))
+    stored = M.encode_audio(spark.createDataFrame(texts, "doc_id long, text string"))
     rows = stored.collect()
     assert len(rows) == 4
     for r in rows:
-        s = mpeg_audio.read_stream(bytes(r["media"]))
-        assert r["offsets"] == s.offsets.tolist() and r["samples"] == s.samples == mpeg_audio.SAMPLES * len(s.offsets) and r["hertz"] == s.hertz
+        s = M.read_stream(bytes(r["media"]))
+        assert r["offsets"] == s.offsets.tolist() and r["samples"] == s.samples == M.SAMPLES * len(s.offsets) and r["hertz"] == s.hertz
         assert all(bytes(r["media"])[o] == 0xFF for o in r["offsets"])
-    at = lambda seconds: mpeg_audio.seek(F.col("offsets"), F.col("hertz"), F.lit(seconds))
-    one = stored.where("doc_id = 1").select("offsets", "hertz", at(0.0).alias("a"), at(1.5 * mpeg_audio.SAMPLES / rows[0]["hertz"]).alias("b"), at(-1.0).alias("c"), at(1e6).alias("d")).first()
+    at = lambda seconds: M.seek(F.col("offsets"), F.col("hertz"), F.lit(seconds))
+    one = stored.where("doc_id = 1").select("offsets", "hertz", at(0.0).alias("a"), at(1.5 * M.SAMPLES / rows[0]["hertz"]).alias("b"), at(-1.0).alias("c"), at(1e6).alias("d")).first()
     assert (one["a"], one["b"], one["c"], one["d"]) == (one["offsets"][0], one["offsets"][1], None, None)
