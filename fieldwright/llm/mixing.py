@@ -89,7 +89,7 @@ def _packets(times: int) -> Column:
     return F.filter(F.array(*each), lambda p: (p["words"] > 0) & (F.col("target") > 0))
 
 
-def _cut(queued: DataFrame, times: int) -> DataFrame:
+def _cut(queued: DataFrame, times: int, most: int | None = None) -> DataFrame:
     """One row: the last packet that the budget pays for (finish, source_key, end) and how many of its words it pays.
 
     All packets are range-sorted by virtual finish time; a running total, first over the ranges and then within the one
@@ -97,20 +97,22 @@ def _cut(queued: DataFrame, times: int) -> DataFrame:
     """
     n = X.reducers(queued)
     budget = queued.groupBy("source_key").agg(F.floor(F.first("target")).cast("long").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("budget"))
+    if most is not None:
+        budget = budget.select(F.least("budget", F.lit(most).cast("long")).alias("budget"))
     sent = queued.select("source_key", "target", F.explode(_packets(times)).alias("p")).select((F.col("p.end") / F.col("target")).alias("finish"), "source_key", F.col("p.end").alias("end"), F.col("p.words").alias("words"))
     sorted_ = X.keep(sent.repartitionByRange(n, *_ORDER).withColumn("range", F.spark_partition_id()), "mix-packets")
     sums = sorted_.groupBy("range").agg(F.sum("words").alias("words"))
     upto = F.sum("words").over(Window.orderBy("range"))  # one row a range
     ends = sums.withColumn("before", upto - F.col("words")).join(budget).where("budget > before AND budget <= before + words").select("range", "before", "budget")
     inside = sorted_.join(ends, "range").withColumn("at", F.col("before") + F.sum("words").over(Window.partitionBy("range").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)))
-    last = inside.where("at >= budget AND at - words < budget")
+    last = inside.where("at >= budget AND at - words < budget")  # a budget of 0 has no last packet
     return last.agg(F.min(F.struct(*_ORDER)).alias("last"), F.min(F.col("budget") - F.col("at") + F.col("words")).alias("paid"))
 
 
-def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], share_percent: int, times: int, seed: int, carry: tuple[str, ...] | None = None) -> DataFrame:
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], share_percent: int, times: int, seed: int, carry: tuple[str, ...] | None = None, budget: int | None = None) -> DataFrame:
     """(row, size, source_size, target, taken, passes, finish) for each row of `docs`."""
     queued = X.keep(_queued(docs, id_col, source_col, text_col, weights, share_percent, times, seed, carry), "mix-queued")
-    judged = queued.join(F.broadcast(_cut(queued, times)))  # one row
+    judged = queued.join(F.broadcast(_cut(queued, times, budget)))  # one row
 
     def paid(p: Column) -> Column:
         key = F.struct((p["end"] / F.col("target")).alias("finish"), F.col("source_key"), p["end"].alias("end"))
@@ -126,7 +128,7 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, times: int = 2, seed: int = 0, carry: tuple[str, ...] | None = None,
+    weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, times: int = 2, seed: int = 0, carry: tuple[str, ...] | None = None, budget: int | None = None,
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
@@ -134,6 +136,8 @@ def mix_sources(
     document's virtual finish time is the words of its source up to its end, divided by the source's target. All documents
     are range-sorted by it, and the mix is their running total up to the budget, which is all sources' targets: sources
     reach theirs at time 1, where the document in service is cut in two, so each source gives its target's whole words.
+    A smaller `budget` (of 1 word at least) ends the mix earlier, at the time at which all sources together have given it:
+    each has then given the same part of its target, but for the document in service, and one packet is paid in part.
 
     Returns all columns of `docs` (or those named in `carry`, so that texts needn't move) and mix_size, mix_source_size, mix_target, mix_taken (repeats counted), mix_passes (the
     times that any of its words are taken) and mix_finish (its first virtual finish time; null where the target is 0).
@@ -144,7 +148,7 @@ def mix_sources(
     source meets in one task; lists as long as the sources, and as the ranges, do.
     """
     names = {c: f"mix_{c}" for c in ("size", "source_size", "target", "taken", "passes", "finish")}
-    out = _mixed(docs, id_col, source_col, text_col, weights, share_percent, times, seed, carry)
+    out = _mixed(docs, id_col, source_col, text_col, weights, share_percent, times, seed, carry, budget)
     return out.select(*[F.col(f"row.`{c}`") for c in (docs.columns if carry is None else carry) if c not in names.values()], *[F.col(c).alias(m) for c, m in names.items()])
 
 

@@ -50,12 +50,21 @@ SITE_RULES = (
     site_rule("block", "net/es/"),
     site_rule("block", "net/fr/"),
 )
-#: The method's own verdict where no site rule fits: link farms and the like; anything else is allowed.
+#: Words that a host has as a whole part of a label, and a path as a whole segment, where a page is a link farm, a shop of
+#: pills, a gambling or an adult site, or a mirror of copied software.
+HOST_WORDS = (
+    "spam", "casino", "poker", "roulette", "slots", "bookmaker", "sportsbet", "jackpots", "viagra", "cialis", "payday", "linkfarm", "backlinks", "escorts", "porn", "xxx", "warez", "torrents",
+)
+PATH_WORDS = ("xxx", "porn", "casino", "poker", "warez", "backlinks", "linkfarm")
+#: What is offered, behind one of the words that offer it: cheap-pills.example.org, /buy-followers/.
+OFFERS = ("cheap", "buy", "free", "replica")
+GOODS = ("pills", "meds", "followers", "likes", "watches", "handbags", "essays", "proxies")
+#: The method's own verdict where no site rule fits; anything else is allowed.
 PATTERN_RULES = (
-    pattern_rule("block", r"(\A|[.-])spam[.-]", "", "spam"),
-    pattern_rule("block", r"(\A|[.-])casino[.-]", "", "casino"),
-    pattern_rule("block", r"(\A|[.-])poker[.-]", "", "poker"),
-    pattern_rule("block", "", r"/xxx(/|\z)", "xxx"),
+    *[pattern_rule("block", rf"(\A|[.-]){w}[.-]", "", w) for w in HOST_WORDS],
+    *[pattern_rule("block", "", rf"(?i)/{w}(/|\z)", w) for w in PATH_WORDS],
+    *[pattern_rule("block", rf"(\A|[.-])({'|'.join(OFFERS)})-{w}[.-]", "", w) for w in GOODS],
+    *[pattern_rule("block", "", rf"(?i)/({'|'.join(OFFERS)})-{w}(/|\z)", w) for w in GOODS],
 )
 
 
@@ -164,6 +173,6 @@ rules(rule, rhost, rpath, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('e
 f AS (SELECT h.page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
       FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY h.page_id)
 SELECT h.page_id, h.host, h.path, f.rule,
-       coalesce(f.verdict, CASE WHEN regexp_matches(host, '(^|[.-])(spam|casino|poker)[.-]') OR regexp_matches(path, '/xxx(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(f.verdict, CASE WHEN regexp_matches(host, '(^|[.-])(@HOST)[.-]') OR regexp_matches(path, '(?i)/(@PATH)(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN f ON h.page_id = f.page_id
-"""
+""".replace("@HOST", "|".join([*HOST_WORDS, f"({'|'.join(OFFERS)})-({'|'.join(GOODS)})"])).replace("@PATH", "|".join([*PATH_WORDS, f"({'|'.join(OFFERS)})-({'|'.join(GOODS)})"]))

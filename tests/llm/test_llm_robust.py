@@ -106,3 +106,27 @@ def test_archives_of_any_name_and_several_concurrent_ids(spark, tmp_path):
     got = {r["capture_id"]: (r["page_id"], r["request"] and r["request"]["record_id"]) for r in warc.assemble_transactions(warc.read_warc(spark, str(tmp_path))).collect()}
     assert got == {"<urn:a>": (None, "<urn:q>"), "<urn:b>": (7, "<urn:q>"), "<urn:c>": (None, None)}
     assert warc.read_warc(spark, str(tmp_path), "other*").count() == 1
+
+
+@pytest.mark.parametrize("budget", [1, 500, 3001, 10**9])
+def test_a_smaller_budget_is_cut_by_the_sort(spark, budget):
+    r = random.Random(8)
+    rows = [(i, r.choice("abc"), " ".join(["w"] * r.choice([1, 5, 30, 90]))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_sources(docs, budget=budget).collect()
+    whole = sum(int(t) for t in {x["source"]: x["mix_target"] for x in got}.values())
+    assert sum(x["mix_taken"] for x in got) == min(budget, whole) and all(0 <= x["mix_taken"] <= 2 * x["mix_size"] for x in got)
+    if budget == 3001:  # every source has given the same part of its target, but for one document
+        parts = {s: sum(x["mix_taken"] for x in got if x["source"] == s) for s in "abc"}
+        targets = {x["source"]: x["mix_target"] for x in got}
+        time = 3001 / sum(targets.values())
+        assert all(abs(parts[s] - time * targets[s]) <= 100 for s in "abc")
+
+
+def test_pattern_rules_by_words_and_offers(spark):
+    urls = {
+        "http://best-casino.example.org/": "block", "http://casinos.example.org/": "allow", "http://a.org/x/Porn/y": "block", "http://cheap-pills.example.net/": "block", "http://pills.example.net/": "allow",
+        "http://a.org/buy-followers/": "block", "http://a.org/buy-followers-now/": "allow", "http://poker.com/": "allow", "http://a.org/?q=/xxx/": "allow", "https://a.org/replica-watches": "block",
+    }
+    got = {r["url"]: r["url_verdict"] for r in url_filter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    assert got == urls
