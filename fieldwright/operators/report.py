@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldwright.operators import compare as C
 from fieldwright.operators import score as S
+from fieldwright.operators.resample import hash_bootstrap, ratio
 from fieldwright.operators.select import rank_picks
 
 
@@ -142,6 +143,67 @@ def cost_points(costs: DataFrame, accuracies: DataFrame, key: str = "model") ->
     return costs.join(accuracies, key).select(key, "per_1000", "accuracy").where("per_1000 IS NOT NULL AND accuracy IS NOT NULL").orderBy("per_1000", key)
 
 
+def _percent(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.format_string("%.1f%%", 100 * c)).otherwise("—")  # a null would be written as a word
+
+
+def leaderboard_table(results: DataFrame, keys: Iterable[str], calls: DataFrame | None = None, cluster: str = "template_id", draws: int = 1000) -> DataFrame:
+    """The leaderboard as text cells, best field accuracy first: place, model, n, failed, and each measure with its interval.
+
+    calls(model, error) tell how many calls of a model failed; without them, and for models that they lack, the cell is
+    empty, so that a row of few documents doesn't look like one of all. Intervals are by hash weights over clusters, so no
+    model's clusters meet in one place. A measure that nothing was due for is a dash.
+    """
+    docs = S.document_results(results, keys)
+    header, every = F.col("row").isNull(), F.lit(True)
+
+    def sums(rows: DataFrame, name: str, num: Column, den: Column) -> DataFrame:
+        return rows.groupBy("model", F.lit(name).alias("measure"), F.col(cluster).alias("cluster")).agg(F.count_if(num).alias("num"), F.count_if(den).alias("den"))
+
+    parts = [sums(results, n, g & S.right(), g & S.due()) for n, g in (("field_accuracy", every), ("header_accuracy", header), ("line_item_accuracy", ~header))]
+    parts += [sums(docs, n, F.col(n), every) for n in ("exact", "critical_exact")]
+    ends = hash_bootstrap(reduce(DataFrame.unionByName, parts), ["model", "measure"], ["num", "den"], ratio, draws)
+    held = F.when(F.col("lo").isNotNull(), F.format_string(" [%.1f, %.1f]", 100 * F.col("lo"), 100 * F.col("hi"))).otherwise("")
+    cells = ends.withColumn("cell", F.concat(_percent(F.col("point")), held))
+    measures = ["field_accuracy", "header_accuracy", "line_item_accuracy", "exact", "critical_exact"]
+    wide = cells.groupBy("model").agg(*[F.coalesce(F.max(F.when(F.col("measure") == m, F.col("cell"))), F.lit("—")).alias(m) for m in measures])
+    out = leaderboard(results, keys).select("place", "model", "n", _percent(F.col("hallucination")).alias("hallucination_share")).join(wide, "model")
+    if calls is None:
+        return out.select("place", "model", "n", F.lit("").alias("failed"), *measures, "hallucination_share").orderBy("place")
+    lost = calls.groupBy("model").agg(F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").cast("string").alias("failed"))
+    return out.join(lost, "model", "left").select("place", "model", "n", F.coalesce("failed", F.lit("")).alias("failed"), *measures, "hallucination_share").orderBy("place")
+
+
+def degradation_table(results: DataFrame, levels: list[str]) -> DataFrame:
+    """Accuracy by level and the drop from the first to the last as text cells; best at the first level first."""
+    curve = degradation_curve(results, levels)
+    first = F.coalesce(F.col(levels[0]), F.lit(0.0))
+    place = F.row_number().over(Window.orderBy(F.desc("__first"), "model"))
+    cells = [_percent(F.col(n)).alias(n) for n in levels]
+    drop = F.when(F.col("accuracy_drop").isNotNull(), F.format_string("%.1f pts", 100 * F.col("accuracy_drop"))).otherwise("—").alias("accuracy_drop")
+    return curve.withColumn("__first", first).select(place.alias("place"), "model", *cells, drop).orderBy("place")
+
+
+def cost_table(costs: DataFrame, key: str = "model") -> DataFrame:
+    """Rows of `cost_summary` as text cells, cheapest first."""
+    forms = {"mean_in": "%.0f", "mean_out": "%.0f", "p50": "%.2fs", "p95": "%.2fs", "per_1000": "$%.2f", "per_1000_inr": "₹%.0f"}
+    place = F.row_number().over(Window.orderBy("per_1000", key))
+    return costs.select(place.alias("place"), key, *[F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c))).otherwise("—").alias(c) for c, f in forms.items()]).orderBy("place")
+
+
+def distribution_table(found: DataFrame, categories: Iterable[str]) -> DataFrame:
+    """Findings by category and model: a row a category that any model has, in the order of `categories`, and the totals
+    last. Models are columns, in order of name; they are few, and read once."""
+    models = [r["model"] for r in found.select("model").distinct().orderBy("model").collect()]
+    order = {c: i for i, c in enumerate(categories)}
+    place = F.coalesce(*[F.when(F.col("category") == c, i) for c, i in order.items()], F.lit(len(order)))
+    counts = [F.count_if(F.col("model").eqNullSafe(F.lit(m))).alias(str(m)) for m in models]
+    sets = found.rollup("category").agg(F.grouping("category").alias("__all"), *counts)
+    named = sets.withColumn("place", F.when(F.col("__all") == 1, len(order) + 1).otherwise(place))
+    label = F.when(F.col("__all") == 1, "total findings").otherwise(F.replace(F.col("category"), F.lit("_"), F.lit(" ")))
+    return named.select(F.col("place").cast("int").alias("place"), label.alias("category"), *[F.col(f"`{m}`") for m in models]).orderBy("place")
+
+
 def to_markdown(table: DataFrame, columns: list[str], most: int = 1000) -> str:
     """A small table as Markdown; more than `most` rows is an error, not a cut."""
     rows = table.select(*columns).limit(most + 1).collect()

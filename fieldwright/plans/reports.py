@@ -8,10 +8,12 @@ from fieldwright.functions import json_safe as J
 from fieldwright.operators import report as R
 from fieldwright.operators import resample as B
 from fieldwright.operators import score as S
+from fieldwright.operators import taxonomy as X
 from fieldwright.operators import triage as G
 from fieldwright.operators.select import rank_picks
 from fieldwright.plans import invoices as I
 from fieldwright.plans.registry import query
+from fieldwright.plans.documents import _calls, _CALLS
 from fieldwright.plans.scoring import ACC
 from fieldwright.sources import calls as C
 from fieldwright.sources import rates as P
@@ -155,3 +157,21 @@ def rank_picks_by_flag(spark, sf):
     whole = lambda c: F.floor(c).cast("long")
     ranks = {"least": lambda n: F.lit(0), "p10": lambda n: whole(n / 10), "p50": lambda n: whole(n / 2), "p99": lambda n: whole(n * 99 / 100), "most": lambda n: n - 1}
     return rank_picks(lines, ["flag"], "l_extendedprice", ranks)
+
+
+@query("cost_table", f"""WITH {_CALLS}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY latency) - 1 AS pos, count(*) OVER (PARTITION BY model) AS n FROM priced WHERE error IS NULL),
+  s AS (SELECT model, round(avg(tin), 6) AS i, round(avg(tout), 6) AS o, max(CASE WHEN pos = n // 2 THEN latency END) AS p50, max(CASE WHEN pos = least(n - 1, CAST(floor(n * 0.95) AS BIGINT)) THEN latency END) AS p95, round(sum(cost) / count(*) * 1000, 6) AS k, round(sum(cost) / count(*) * 1000 * 83.0, 6) AS r FROM r GROUP BY model)
+  SELECT CAST(row_number() OVER (ORDER BY k, model) AS INT) AS place, model, printf('%.0f', i) AS mean_in, printf('%.0f', o) AS mean_out, printf('%.2fs', p50) AS p50, printf('%.2fs', p95) AS p95, printf('$%.2f', k) AS per_1000, printf('₹%.0f', r) AS per_1000_inr FROM s""")
+def cost_table(spark, sf):
+    return R.cost_table(R.cost_summary(_calls(spark, sf).where("error IS NULL"), "model", "latency", "tin", "tout", "cost"))
+
+
+@query("distribution_table", """WITH f AS (SELECT event_type AS model, CASE user_id % 5 WHEN 0 THEN 'omission' WHEN 1 THEN 'wrong_value' WHEN 2 THEN 'refusal' ELSE 'format_error' END AS category FROM events),
+  c AS (SELECT CASE category WHEN 'refusal' THEN 0 WHEN 'format_error' THEN 7 WHEN 'omission' THEN 8 WHEN 'wrong_value' THEN 10 END AS place, replace(category, '_', ' ') AS category, model FROM f UNION ALL SELECT 12, 'total findings', model FROM f)
+  SELECT CAST(place AS INT) AS place, category, CAST(sum(CASE WHEN model = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS click, CAST(sum(CASE WHEN model <> 'click' THEN 1 ELSE 0 END) AS BIGINT) AS others FROM c GROUP BY ALL""")
+def distribution_table(spark, sf):
+    """Events as findings of two models, clicks and all others."""
+    e, k = I.table(spark, sf, "events"), F.col("user_id") % 5
+    category = F.when(k == 0, "omission").when(k == 1, "wrong_value").when(k == 2, "refusal").otherwise("format_error")
+    found = e.select(F.when(F.col("event_type") == "click", "click").otherwise("others").alias("model"), category.alias("category"))
+    return R.distribution_table(found, X.CATEGORIES)

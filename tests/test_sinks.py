@@ -86,3 +86,20 @@ def test_projections_give_what_expressions_give(spark):
     a = N.normalized(rows, {"x": ("money", F.col("m")), "y": ("date", F.col("d"))}).select("x", "x_ok", "y", "y_ok").collect()
     b = rows.select(N.normalize("money", F.col("m")).alias("x"), N.normalize("date", F.col("d")).alias("y")).select("x.*", "y.*").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_leaderboard_cells(spark):
+    r = _results(spark)
+    calls_ = spark.createDataFrame([("a", None), ("a", "late"), ("c", "late")], "model string, error string")
+    rows = report.leaderboard_table(r, ["model", "level", "doc_id", "template_id"], calls_, draws=200).collect()
+    assert [(x["place"], x["model"], x["n"], x["failed"]) for x in rows] == [(1, "a", 120, "1"), (2, "b", 120, "")]
+    plain = r.where("model = 'a'").agg(F.avg((F.col("outcome") == "correct").cast("double"))).first()[0]
+    assert rows[0]["field_accuracy"].startswith(f"{100 * plain:.1f}% [") and rows[0]["hallucination_share"] == "100.0%"
+    none = report.leaderboard_table(r.where("row IS NULL"), ["model", "level", "doc_id", "template_id"], draws=50).collect()
+    assert none[0]["line_item_accuracy"] == "—" and none[0]["failed"] == ""
+
+
+def test_degradation_cells(spark):
+    rows = [("m", "L0", "correct"), ("m", "L0", "wrong"), ("m", "L1", "wrong"), ("n", "L0", "correct")]
+    r = spark.createDataFrame(rows, "model string, level string, outcome string").withColumn("row", F.lit(None).cast("int"))
+    assert [tuple(x) for x in report.degradation_table(r, ["L0", "L1"]).collect()] == [(1, "n", "100.0%", "—", "—"), (2, "m", "50.0%", "0.0%", "50.0 pts")]
