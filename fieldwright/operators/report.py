@@ -185,10 +185,10 @@ def degradation_table(results: DataFrame, levels: list[str]) -> DataFrame:
 
 
 def cost_table(costs: DataFrame, key: str = "model") -> DataFrame:
-    """Rows of `cost_summary` as text cells, cheapest first."""
-    forms = {"mean_in": "%.0f", "mean_out": "%.0f", "p50": "%.2fs", "p95": "%.2fs", "per_1000": "$%.2f", "per_1000_inr": "₹%.0f"}
+    """Rows of `cost_summary` as text cells, halves to even, cheapest first."""
+    forms = {"mean_in": (0, "%.0f"), "mean_out": (0, "%.0f"), "p50": (2, "%.2fs"), "p95": (2, "%.2fs"), "per_1000": (2, "$%.2f"), "per_1000_inr": (0, "₹%.0f")}
     place = F.row_number().over(Window.orderBy("per_1000", key))
-    return costs.select(place.alias("place"), key, *[F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c))).otherwise("—").alias(c) for c, f in forms.items()]).orderBy("place")
+    return costs.select(place.alias("place"), key, *[F.when(F.col(c).isNotNull(), F.format_string(f, F.bround(c, digits))).otherwise("—").alias(c) for c, (digits, f) in forms.items()]).orderBy("place")
 
 
 def distribution_table(found: DataFrame, categories: Iterable[str]) -> DataFrame:
