@@ -83,7 +83,7 @@ def _said(field, row, category, detail, gt=None, pred=None) -> Column:
 
 
 def _field_finding(x: Column, truths: Column) -> Column:
-    """The finding of one failing field, most specific rule first."""
+    """The finding of one failing field, most specific rule first. Categories and details are fixed values."""
     same = F.filter(truths, lambda t: (t["value"] == x["pred_norm"]) & (t["field"] != x["field"]) & (t["family"] == x["family"]))
 
     def judged(other: Column, misread: Column) -> Column:
