@@ -6,6 +6,7 @@ import contextlib
 import io
 import re
 
+from fieldwright.operators import span
 from fieldwright.plans import catalog, documents, invoices
 
 
@@ -35,3 +36,15 @@ def test_documents_are_dealt_by_their_number(spark, sf, monkeypatch):
     n = invoices.table(spark, sf, "orders").count()
     monkeypatch.setattr(invoices, "_DOCS_A_TASK", n // 50)
     assert invoices.results(spark, sf).rdd.getNumPartitions() == -(-n // (n // 50))
+
+
+def test_positions_are_shuffled_once(spark):
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = spark.createDataFrame([("a", i // 2, 1) for i in range(400)], "doc_id string, position int, weight int")  # two rows a position
+        out = span.trimmed_span(frame)
+        moved = [c for c in _exchanged(out) if re.search(r"\bp#", c) and "which#" not in c]
+        assert len(moved) == 1 and [tuple(r) for r in out.collect()] == [("a", 3, 195, 200)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
