@@ -6,7 +6,9 @@ import contextlib
 import io
 import re
 
-from fieldwright.operators import span
+from pyspark.sql import functions as F
+
+from fieldwright.operators import resample, span
 from fieldwright.plans import catalog, documents, invoices
 
 
@@ -48,3 +50,11 @@ def test_positions_are_shuffled_once(spark):
         assert len(moved) == 1 and [tuple(r) for r in out.collect()] == [("a", 3, 195, 200)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_bootstrap_makes_its_clusters_once(spark):
+    rows = spark.createDataFrame([(m, c, c % 3, 2) for m in ("A", None) for c in range(50)], "model string, cluster int, num int, den int")
+    sums = resample.cluster_sums(rows, ["model"], F.col("cluster"), {"num": F.sum("num"), "den": F.sum("den")})
+    out = resample.hash_bootstrap(sums, ["model"], ["num", "den"], resample.ratio, 20)
+    moved = [c for c in _exchanged(out) if "cluster#" in c]
+    assert len(moved) == 1 and {(r["model"], r["point"], r["n_clusters"]) for r in out.collect()} == {("A", 0.49, 50), (None, 0.49, 50)}
