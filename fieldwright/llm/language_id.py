@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -296,8 +297,11 @@ def keep_identified(docs: DataFrame, models: Models, text_col: str = "text") ->
     def run(batches):
         for batch in batches:
             pair = pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
-            gone = [x for part in predict([pair]) for x in part.column(4).to_pylist()]
-            yield batch.filter(pa.array([not x for x in gone], pa.bool_()))
+            lo = 0
+            for part in predict([pair]):  # what is kept leaves piece by piece, not as a copy of the batch
+                yield batch.slice(lo, part.num_rows).filter(pc.invert(part.column(4)))
+                lo += part.num_rows
+            batch = pair = part = None  # not held while the next batch is read
 
     return X.arrow(docs, run, docs.schema)
 
