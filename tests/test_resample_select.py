@@ -24,6 +24,36 @@ def test_weights_are_poisson(spark):
     assert np.abs(np.corrcoef(m.T) - np.eye(10)).max() < 0.05  # draws are independent
 
 
+def test_weights_of_many_draws_are_those_of_the_columns(spark):
+    hashes = [0, 1, 7, 123_456_789, resample.PRIME - 1, 268_435_455]
+    cells = spark.createDataFrame([(d, a, b) for d in range(300) for a in hashes for b in hashes], "__draw long, __one long, __two long")
+    rows = resample.with_times(cells, 20260101).collect()
+    one, two = (np.array([x for a in hashes for b in hashes for x in ((a, b)[i],)]) for i in (0, 1))
+    times = resample.times_of(one, two, np.arange(300), 20260101)
+    got = {(d, int(a), int(b)): int(times[i, d]) for i, (a, b) in enumerate(zip(one, two, strict=True)) for d in range(300)}
+    assert {(r["__draw"], r["__one"], r["__two"]): r["__times"] for r in rows} == got and max(got.values()) > 3
+
+
+def test_accuracy_has_all_its_draws(spark, sf, monkeypatch):
+    from fieldwright.plans import catalog, reports
+
+    seen = []
+    own = resample.hash_bootstrap
+    monkeypatch.setattr(reports.B, "hash_bootstrap", lambda *a, **k: seen.append(a) or own(*a, **k))
+    catalog.queries()["bootstrap_by_hash"](spark, sf)
+    assert seen[0][4:] == (1000,) and "range(0, 1000) r(draw)" in catalog.oracle_sql()["bootstrap_by_hash"]
+
+
+def test_sums_that_a_task_sends_on_are_added(spark, monkeypatch):
+    rows = [(g, c, float(c % 5), 5.0) for g in ("a", "b", None) for c in range(900)]
+    clusters = spark.createDataFrame(rows, "g string, cluster long, num double, den double")
+    whole = sorted(map(str, resample.hash_bootstrap(clusters, ["g"], ["num", "den"], resample.ratio, 40).collect()))
+    monkeypatch.setattr(resample, "_CELLS", 400)
+    monkeypatch.setattr(resample, "_HELD", 1)
+    few = resample.hash_bootstrap(clusters, ["g"], ["num", "den"], resample.ratio, 40)
+    assert sorted(map(str, few.collect())) == whole and len(whole) == 3
+
+
 def test_intervals_are_near_the_kernels(spark):
     r = random.Random(3)
     rows = [(g, i, float(r.randint(0, 30 if g == "a" else 20)), 30.0) for g in ("a", None) for i in range(400)]
