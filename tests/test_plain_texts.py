@@ -31,3 +31,19 @@ def test_plain_agrees_with_the_steps(spark, kind):
     told = whole.select("t", N.plain(kind, F.col("t")).alias("p"), N.is_null_token(F.col("t")).alias("none"), F.col("v").cast("string").alias("v"), "v_ok").collect()
     assert [r for r in told if r.p is not None and (r.none or not r.v_ok or r.p != r.v)] == []
     assert {r.t for r in told if r.p is not None} >= set(COMMON[kind])
+
+
+def test_plain_words_agree_with_the_steps(spark):
+    texts = [*ODD, *K.NULL_TOKENS, "part 12 line 3", "a", "na na", "acme ltd", "acme co", "co", "limited", "limits", "a  b", "a b\n", " a", "a.b", "Acme", "acme and sons", "and sons", "traders inc", "incs", "café", "x" * 40]
+    rows = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "t string")
+    told = N.normalized(rows, {"v": ("fuzzy", F.col("t"))}).select("t", N.plain("fuzzy", F.col("t")).alias("p"), "v").collect()
+    assert [r for r in told if r.p is not None and r.p != r.v] == []
+    assert {r.t for r in told if r.p is not None} >= {"part 12 line 3", "a", "na na", "limits", "incs"}
+
+
+def test_rare_texts_are_read_as_by_the_steps(spark):
+    rows = spark.createDataFrame([(t,) for t in dict.fromkeys([*ODD, *itertools.chain(*COMMON.values())]) if t is not None], "t string")
+    for kind in N.STEPS:
+        got = rows.select("t", N.read(kind, F.col("t")).alias("r")).select("t", "r.*")
+        staged = N.staged(rows.withColumn("f", N.fold(F.col("t"))), {"v": N.STEPS[kind](F.col("f"))}).select("t", F.col("v").cast("string").alias("value"), F.col("v_ok").alias("ok"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, staged.collect())), kind
